@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Bytes of text that a Python task handles at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: Words whose bytes are spread to 64 bits at once.
+BLOCK_WORDS = 1 << 16
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -135,12 +137,15 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        if not len(self):
-            return np.zeros(0, dtype=np.uint64)
-        length = self.end - self.start
-        power = np.cumprod(np.full(int(length.max()) + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
-        place = np.arange(len(self.data)) - np.repeat(self.start, length + 1)
-        return mix(np.add.reduceat((self.data.astype(np.uint64) + np.uint64(1)) * power[place], self.start))
+        out = np.empty(len(self), dtype=np.uint64)
+        for a in range(0, len(self), BLOCK_WORDS):  # the arrays below are wider than the text
+            start, end = self.start[a : a + BLOCK_WORDS], self.end[a : a + BLOCK_WORDS]
+            length = end - start + 1
+            data = self.data[start[0] : end[-1] + 1].astype(np.uint64) + np.uint64(1)
+            power = np.cumprod(np.full(int(length.max()), 0x9E3779B97F4A7C15, dtype=np.uint64))
+            place = np.arange(len(data)) - np.repeat(start - start[0], length)
+            out[a : a + BLOCK_WORDS] = np.add.reduceat(data * power[place], start - start[0])
+        return mix(out)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from .common import Words, chunks, pick, text_bytes, windows_hash
 
 #: Words of a window, and of the pieces whose smallest hash is a window's minimiser.
-WINDOW, PIECE = 13, 4
+WINDOW, PIECE = 13, 3
 #: Most windows of one super-k-mer, text that a map task gathers before it sends, and text of a bucket.
-RUN, GATHER_BYTES, BUCKET_BYTES = 64, 24 << 20, 4 << 20
+RUN, GATHER_BYTES, BUCKET_BYTES = 64, 12 << 20, 2 << 20
 
 PARCELS = "bucket int, strings binary, docs binary, versions binary, starts binary, counts binary"
 SPANS = "id long, version long, first int, last int"
@@ -60,7 +60,7 @@ def parcels(batches: Iterator[pa.RecordBatch], buckets: int, window: int, piece:
     known to repeat it, and go along as finished spans, to buckets by their ids. A string that a third
     of all documents share thus arrives once for each gathered part.
     """
-    pack = zstandard.ZstdCompressor(level=1)
+    pack = zstandard.ZstdCompressor(level=3)
     schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("strings", "docs", "versions", "starts", "counts"))])
 
     def send(strings: list, minimisers: list, holders: list) -> Iterator[pa.RecordBatch]:
@@ -212,7 +212,10 @@ def substring_dedup(
     own text, spans being joined by id and text hash. An empty table gives an empty result. Ids are
     integers. Further columns are ignored.
     """
-    rows = pick(docs, id=id_col, text=text_col).select("id", F.xxhash64("text").alias("version"), "text")
+    rows = pick(docs, id=id_col, text=text_col)
+    # A hash of the text tells rows of one id apart; where no id repeats, it would only be carried along.
+    repeated = not rows.groupBy("id").count().filter("count > 1 and id is not null").isEmpty()
+    rows = rows.select("id", (F.xxhash64("text") if repeated else F.lit(0).cast("long")).alias("version"), "text")
     id_type = rows.schema["id"].dataType
     rows = rows.withColumn("id", F.col("id").cast("long"))
     buckets = max(1, -(-text_bytes(rows) // BUCKET_BYTES))
