@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, packing, simhash_dedup, substring_dedup
+from . import (
+    exact_dedup,
+    license_scan,
+    line_dedup,
+    lm_scoring,
+    mixing,
+    packing,
+    quality,
+    simhash_dedup,
+    substring_dedup,
+    topk_search,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +29,16 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: posterior of its labellers' votes, score and whether it is kept."""
+    found = quality.classify(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "votes", "posterior", "score", "insulting", F.col("good").alias("kept"))
+
+
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), stays="max")
 
@@ -30,6 +51,22 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document and epoch with its block's window and slot in the mixture."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source")).drop("row").withColumnRenamed("id", "doc_id")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: its text without repeated lines."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: losses under the models of good labelled documents and of all documents."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0")
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_dedup.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select(
@@ -42,9 +79,14 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_quality_classifier": op2_quality_classifier,
+        "op3_topk_search": op3_topk_search,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_license_scan": op5_license_scan,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_source_mixing": op7_source_mixing,
+        "op8_line_dedup": op8_line_dedup,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 
@@ -52,6 +94,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": substring_dedup.ORACLE,
+        "op3_topk_search": topk_search.ORACLE,
         "op4_exact_dedup": exact_dedup.ORACLE,
         "op5_license_scan": license_scan.oracle(),
+        "op7_source_mixing": mixing.oracle(),
     }
