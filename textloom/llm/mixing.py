@@ -59,8 +59,8 @@ def mix_sources(
     Columns: row (the document, as in `common.with_row`), id, source, block, epoch, release, deadline,
     slot and place. A source's documents are ordered by the MD5 of their ids and cut into blocks of `block`; blocks
     are numbered on through further epochs and put in slots by `schedule`, whose period repeats. The
-    mixture is as many periods long as it takes to use every document: no document is left out, and
-    sources that run out before begin again (epoch 1, 2, ...). place is the place in the block.
+    mixture is as long as it takes to use every document: no document is left out, and sources that run
+    out before begin again (epoch 1, 2, ...). place is the place in the block.
 
     weights: whole parts by source; without them count ** temperature in PARTS parts, from the counts of all
     rows. There is a weight for each source, so the counts that come to the driver and the schedule are as
@@ -82,10 +82,13 @@ def mix_sources(
         weights = temperature_weights(counts, temperature)
     weights = {s: w for s, w in sorted(weights.items()) if w > 0 and s in counts}
     blocks = {s: -(-counts[s] // block) for s in weights}
-    periods = max((-(-blocks[s] // w) for s, w in weights.items()), default=0)
-    period = sum(weights.values())
-    slots = spark.createDataFrame(schedule(weights), "source string, k long, release long, deadline long, slot long")
-    shares = spark.createDataFrame([(s, w, blocks[s]) for s, w in weights.items()], "source string, weight long, blocks long")
+    period, rows_of_period = sum(weights.values()), schedule(weights)
+    slot_of = {(source, k): slot for source, k, _, _, slot in rows_of_period}
+    # As long as it takes to reach every source's last block, and so many blocks of each source.
+    length = max(((blocks[s] - 1) // w * period + slot_of[s, (blocks[s] - 1) % w] + 1 for s, w in weights.items()), default=0)
+    used = {s: length // period * w + sum(slot_of[s, k] < length % period for k in range(w)) for s, w in weights.items()}
+    slots = spark.createDataFrame(rows_of_period, "source string, k long, release long, deadline long, slot long")
+    shares = spark.createDataFrame([(s, w, blocks[s], used[s]) for s, w in weights.items()], "source string, weight long, blocks long, used long")
 
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
@@ -98,7 +101,7 @@ def mix_sources(
         .withColumn("rank", F.col("base") + F.col("rank"))
         .withColumn("block", F.expr(f"rank div {block}"))
         .withColumn("place", F.col("rank") % block)
-        .withColumn("epoch", F.explode(F.expr(f"sequence(0L, (weight * {periods}L - 1 - block) div blocks)")))
+        .withColumn("epoch", F.explode(F.expr("sequence(0L, (used - 1 - block) div blocks)")))
         .withColumn("number", F.col("block") + F.col("epoch") * F.col("blocks"))
         .withColumn("turn", F.expr("number div weight"))
         .withColumn("k", F.expr("number % weight"))
@@ -131,8 +134,7 @@ p AS (
          (n + {BLOCK - 1}) // {BLOCK} AS blocks
   FROM c
 ), q AS (
-  SELECT CAST(sum(w) AS BIGINT) AS period, CAST(max((blocks + w - 1) // w) AS BIGINT) AS periods,
-         list(w ORDER BY source) AS ws, list(source ORDER BY source) AS names
+  SELECT CAST(sum(w) AS BIGINT) AS period, list(w ORDER BY source) AS ws, list(source ORDER BY source) AS names
   FROM p
 ), s AS (
   SELECT CAST(-1 AS BIGINT) AS slot, CAST(NULL AS BIGINT) AS pick, list_transform(ws, lambda x: CAST(0 AS BIGINT)) AS done, ws, period, names FROM q
@@ -146,14 +148,20 @@ p AS (
     FROM s WHERE slot + 1 < period
   )
 ), e AS (SELECT names[pick] AS source, done[pick] - 1 AS k, slot FROM s WHERE slot >= 0),
-r AS (
+z AS (
+  SELECT max((blocks - 1) // w * period + slot + 1) AS length FROM p JOIN e ON e.source = p.source AND e.k = (blocks - 1) % w, q
+), u AS (
+  SELECT p.source, w, blocks, max(period) AS period,
+         max(length // period * w) + count(*) FILTER (slot < length % period) AS used
+  FROM p JOIN e ON e.source = p.source, q, z GROUP BY p.source, w, blocks
+), r AS (
   SELECT doc_id, coalesce(source, '') AS source,
          row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS rank
   FROM documents
 ), x AS (
   SELECT doc_id, source, rank // {BLOCK} AS block, rank % {BLOCK} AS place, w, blocks, period,
-         unnest(range(0, (w * periods - 1 - rank // {BLOCK}) // blocks + 1)) AS epoch
-  FROM r JOIN p USING (source), q
+         unnest(range(0, CAST((used - 1 - rank // {BLOCK}) // blocks + 1 AS BIGINT))) AS epoch
+  FROM r JOIN u USING (source)
 ), y AS (SELECT *, block + epoch * blocks AS number FROM x)
 SELECT doc_id, y.source, block, epoch,
        (number // w) * period + (number % w) * period // w AS release,

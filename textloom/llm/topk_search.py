@@ -111,7 +111,7 @@ def search(index: pa.Table, queries: pa.Table, pivots: dict[int, np.ndarray], k:
         own = vec_ids[None, :] == ids[rows, None]
         scores = np.concatenate([best_score[rows], np.where(own, np.iinfo(np.int64).min, score)], axis=1)
         names = np.concatenate([best_id[rows], np.where(own, np.iinfo(np.int64).max, np.broadcast_to(vec_ids, score.shape))], axis=1)
-        order = np.lexsort((names, -scores), axis=1)[:, :k]
+        order = np.lexsort((names, ~scores), axis=1)[:, :k]  # ~x: descending, without overflow
         best_score[rows], best_id[rows] = np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
         found[rows] = np.minimum(k, found[rows] + (~own).sum(axis=1))
     for j in range(k):
