@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+MODULES = ("content", "relational", "retrieval", "formats", "streams")
+
+
+def _all() -> dict[str, tuple[Query, str | None]]:
+    found: dict[str, tuple[Query, str | None]] = {}
+    for name in MODULES:
+        found.update(import_module(f"textloom.plans.{name}").QUERIES)
+    return found
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for name, (query, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
