@@ -56,7 +56,7 @@ def test_plan_fills_bins(histogram):
 def test_large_pieces_pair_at_most_twice():
     bins = bins_of({30: 3, 20: 5, 14: 9, 26: 2}, 40)
     assert all(len(p) <= 2 for p in bins.values())
-    assert len(bins) == 3 + 2 + 7  # 26 with 14, then 20s and 14s in pairs
+    assert len(bins) == 3 + 2 + 3 + 3  # 26 with 14, 20 with 20, the last 20 with 14, 14 with 14
 
 
 def test_packing_matches_the_tokenizer(spark):
@@ -130,7 +130,7 @@ def test_top_k(spark):
     rng = np.random.default_rng(1)
     vectors = [rng.normal(size=6).round(2).tolist() for _ in range(300)]
     vectors[10:60] = [vectors[10]] * 50  # many copies
-    vectors[61:64] = [None, [1.0, None, 0, 0, 0, 0], [float("nan")] * 6]
+    vectors[61:64] = [None, [1.0, None, 0.0, 0.0, 0.0, 0.0], [float("nan")] * 6]
     vectors[64:68] = [[float("inf")] * 6, [1.0, 2.0], [2.0, 1.0], []]
     vectors[70] = [3e30] * 6
     rows = [(i, v, 0) for i, v in enumerate(vectors)] + [(None, vectors[0], 0), (5, vectors[5], 1)]
