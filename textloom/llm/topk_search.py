@@ -97,7 +97,8 @@ def search(index: pa.Table, queries: pa.Table, pivots: dict[int, np.ndarray], k:
     away = distances(qf, p)
     low, high, most = (blocks[c].to_numpy() for c in ("low", "high", "most"))
     gap = np.maximum(np.maximum(away - high, low - away), 0)
-    bound = np.minimum((norm[:, None] ** 2 + most**2 - gap**2) / 2, qf @ p.T + norm[:, None] * high) + 1e-6 * (1 + norm[:, None] * most)
+    bound = np.minimum((norm[:, None] ** 2 + most**2 - gap**2) / 2, qf @ p.T + norm[:, None] * high) 
+    bound += 1e-6 * (1 + norm[:, None] * most) + 1e-11 * (norm[:, None] ** 2 + most**2 + away**2 + high**2)  # rounding
     best_score = np.full((len(ids), k), np.iinfo(np.int64).min)
     best_id = np.full((len(ids), k), np.iinfo(np.int64).max)
     found = np.zeros(len(ids), dtype=np.int64)
@@ -145,7 +146,7 @@ def top_k(
     Vectors that are null or hold null or non-finite components take no part; nor do null ids. Vectors of
     another length than the query's aren't compared; empty ones score 0 with each other. Rows that repeat an id
     with one vector count once; with different vectors each is a candidate of its own and a query id has
-    one answer, of its first vector in array order. Scores beyond a long become the nearest long. An empty table
+    one answer, of its first vector in array order. Components and scores beyond a long become the nearest long. An empty table
     gives an empty result.
     """
     spark = vectors.sparkSession
@@ -156,7 +157,8 @@ def top_k(
     sizes = {r["dim"]: r["count"] for r in few.groupBy(F.size("v").alias("dim")).count().collect()}
     for dim in sizes:
         sample = few.filter(F.size("v") == dim).orderBy(F.xxhash64("id"), "id").limit(pivots)
-        chosen[dim] = np.array([r["v"] for r in sample.collect()], dtype=np.float64).reshape(-1, dim)
+        found = [r["v"] for r in sample.collect()]
+        chosen[dim] = np.array(found, dtype=np.float64).reshape(len(found), dim)
 
     key_schema = few.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", dim int, pivot int, reach double"
     with_key = few.mapInArrow(lambda batches: keyed(batches, chosen), key_schema)
