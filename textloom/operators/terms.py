@@ -60,7 +60,7 @@ def term_matches(blocks: DataFrame, terms: DataFrame, block_id: str, text: str)
     """(block_id, term_id, hits) by regular expression, for a small list of terms in any script."""
     hits = F.regexp_count(F.col(text), F.col("pattern"))
     small = terms.select("term_id", term_pattern(F.col("term")).alias("pattern"))
-    return blocks.join(small, F.col(text).rlike(F.col("pattern"))).select(block_id, "term_id", hits.cast("long").alias("hits"))
+    return blocks.join(small, F.rlike(F.col(text), F.col("pattern"))).select(block_id, "term_id", hits.cast("long").alias("hits"))
 
 
 def locale_coverage(terms: DataFrame, concept: str = "concept_id", locale: str = "locale") -> DataFrame:

@@ -1,0 +1 @@
+"""Structured Streaming: change feeds, digests, deadlines, repetition state, windows."""
