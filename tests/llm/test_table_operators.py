@@ -255,7 +255,7 @@ def test_near_fingerprints_finds_all_pairs(spark, group):
 def test_estimate_recovers_accuracies():
     rng = np.random.default_rng(0)
     good = rng.random(20000) < 0.7
-    right = [0.95, 0.9, 0.7, 0.6]
+    right = [0.95, 0.9, 0.85, 0.8]
     said = np.stack([np.where(rng.random(20000) < p, good, ~good) for p in right], axis=1)
     patterns = Counter("".join("+" if x else "-" for x in row) for row in said)
     posterior, accuracy = quality.estimate(patterns)

@@ -12,13 +12,20 @@ from pyspark.sql import functions as F
 from .common import Words, chunks, mix, only_row, pick, stage, with_row
 
 #: Documents that the scorer is fitted on at most, its number of weights, and the least score of a good document.
-SAMPLE, WEIGHTS, THRESHOLD = 4000, 1 << 16, 0.5
+SAMPLE, WEIGHTS, THRESHOLD = 4000, 1 << 16, 0.25
 
 #: Insults; a document with several in few words is rejected whatever its form.
 INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 LEAST_INSULTS, INSULT_SHARE = 2, 1 / 250
 
-LABELLERS = ("symbols", "capitals", "stutter", "word_length", "function_words", "sentences", "variety")
+#: The first seven only ever vote against a document, the last three either way: at most 2 ** 7 * 3 ** 3 patterns.
+LABELLERS = ("symbols", "capitals", "stutter", "runs", "variety", "isolated", "end_marks", "clean_words", "function_words", "pairs")
+
+#: Least accuracy on good documents.
+LEAST_ACCURACY = 0.75
+
+#: Documents of fewer words are too short to be judged by their form.
+LEAST_WORDS = 8
 
 #: Very common short words of some languages.
 FUNCTION_WORDS = (
@@ -39,7 +46,7 @@ KIND[32] = 255
 
 
 def hash_words(words: list[str]) -> np.ndarray:
-    return np.unique(Words([w.encode() for w in words]).hashes())
+    return np.unique(plain_words(Words([w.encode() for w in words])))
 
 
 def per_doc(words: Words, values: np.ndarray) -> np.ndarray:
@@ -77,48 +84,58 @@ def shapes(words: Words) -> np.ndarray:
 
 def measure(words: Words, n_docs: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Shares that labellers look at, by document, and the number of insults."""
+    names = ("symbols", "capitals", "stutter", "runs", "variety", "isolated", "ended", "clean", "function", "pairs")
     n = np.maximum(np.diff(words.first), 1).astype(np.float64)
     if not len(words):
-        zero = np.zeros(n_docs)
-        return dict.fromkeys(("symbols", "capitals", "stutter", "length", "function", "ended", "variety"), zero), zero
+        return dict.fromkeys(names, np.zeros(n_docs)), np.zeros(n_docs)
     kind = KIND[words.data]
-    count = {k: per_doc(words, np.add.reduceat((kind == k).astype(np.float64), words.start)) for k in (LETTER, CAPITAL, DIGIT, MARK, OTHER)}
-    letters = np.maximum(count[LETTER] + count[CAPITAL], 1)
-    chars = np.maximum(sum(count.values()), 1)
+    count = {k: np.add.reduceat((kind == k).astype(np.float64), words.start) for k in (LETTER, CAPITAL, DIGIT, OTHER)}
+    length = (words.end - words.start).astype(np.float64)
+    core = count[LETTER] + count[CAPITAL] + count[DIGIT]
+    is_core = kind <= DIGIT
+    ends_twice = ~is_core[words.end - 1] & ~is_core[np.maximum(words.end - 2, words.start)]
     plain = plain_words(words)
     again = np.zeros(len(words))
     again[1:] = (plain[1:] == plain[:-1]) & (words.doc[1:] == words.doc[:-1])
-    last = words.data[words.end - 1]
-    ended = np.isin(last, np.frombuffer(b".?!:;", dtype=np.uint8))
-    distinct = np.unique(np.stack([words.doc.astype(np.uint64), plain]), axis=1)[0].astype(np.int64) if len(plain) < 1000 else np.unique(words.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ plain, return_index=True)[1]
-    distinct_doc = distinct if len(plain) < 1000 else words.doc[distinct]
-    shares = {
-        "symbols": count[OTHER] / chars,
-        "capitals": count[CAPITAL] / letters,
-        "stutter": per_doc(words, again) / n,
-        "length": letters / n,
-        "function": per_doc(words, np.isin(plain, _FUNCTION)) / n,
-        "ended": per_doc(words, ended) / n,
-        "variety": np.bincount(distinct_doc, minlength=n_docs) / n,
-    }
-    return shares, per_doc(words, np.isin(plain, _INSULTS))
+    # How often in a row a word has been said, and one row for each document and distinct word or pair.
+    at = np.arange(len(words))
+    run = at - np.maximum.accumulate(np.where(again == 0, at, 0)) + 1
+    own = mix(words.doc.astype(np.uint64))
+    first = np.unique(own ^ plain, return_index=True)[1]
+    pair = np.unique(own[1:] ^ mix(plain[:-1] * np.uint64(3) + plain[1:]), return_index=True)[1] + 1
+    shares = (
+        per_doc(words, count[OTHER]) / np.maximum(per_doc(words, length), 1),
+        per_doc(words, count[CAPITAL]) / np.maximum(per_doc(words, count[LETTER] + count[CAPITAL]), 1),
+        per_doc(words, again) / n,
+        per_doc(words, run == 4) / n,
+        np.bincount(words.doc[first], minlength=n_docs) / n,
+        per_doc(words, core == 0) / n,
+        per_doc(words, (core > 0) & ends_twice) / n,
+        per_doc(words, (core > 0) & (length - core <= 1)) / n,
+        per_doc(words, np.isin(plain, _FUNCTION)) / n,
+        np.bincount(words.doc[pair], minlength=n_docs) / n,
+    )
+    return dict(zip(names, shares, strict=True)), per_doc(words, np.isin(plain, _INSULTS))
 
 
 def vote(shares: dict[str, np.ndarray], n_words: np.ndarray) -> np.ndarray:
-    """Votes of LABELLERS: 1 good, -1 bad, 0 none."""
+    """Votes of LABELLERS: 1 good, -1 bad, 0 none. Most abstain on texts of a few words."""
+    some, short = n_words >= LEAST_WORDS, n_words < 2000
 
-    def say(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
-        return good.astype(np.int8) - bad.astype(np.int8)
+    def say(bad: np.ndarray, good: np.ndarray | bool = False, asked: np.ndarray = some) -> np.ndarray:
+        return ((good & asked).astype(np.int8)) - (bad & asked)
 
-    some = n_words >= 8
     return np.stack([
-        say(shares["symbols"] < 0.01, shares["symbols"] > 0.05),
-        say(shares["capitals"] < 0.2, (shares["capitals"] > 0.5) & some),
-        say((shares["stutter"] < 0.1) & some, (shares["stutter"] > 0.25) & some),
-        say((shares["length"] > 2.5) & (shares["length"] < 12) & some, ((shares["length"] < 1.5) | (shares["length"] > 20)) & some),
-        say((shares["function"] > 0.1) & some, (shares["function"] < 0.02) & (n_words >= 40)),
-        say((shares["ended"] > 0.02) & (shares["ended"] < 0.4) & some, ((shares["ended"] > 0.7) | ((shares["ended"] < 0.005) & (n_words >= 60))) & some),
-        say((shares["variety"] > 0.4) & some & (n_words < 2000), (shares["variety"] < 0.15) & some & (n_words < 2000)),
+        say(shares["symbols"] > 0.05),
+        say(shares["capitals"] > 0.5),
+        say(shares["stutter"] > 0.25),
+        say(shares["runs"] > 0.01),
+        say(shares["variety"] < 0.15, asked=some & short),
+        say(shares["isolated"] > 0.2),
+        say(shares["ended"] > 0.3),
+        say(shares["clean"] < 0.7, shares["clean"] > 0.9),
+        say(shares["function"] < 0.02, shares["function"] > 0.1, n_words >= 40),
+        say(shares["pairs"] < 0.4, shares["pairs"] > 0.6),
     ])
 
 
@@ -134,6 +151,7 @@ def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "id": batch.column("id"),
             "version": batch.column("version"),
             "votes": pa.array(patterns, pa.string()),
+            "long_enough": pa.array(n >= LEAST_WORDS),
             "insulting": pa.array((insults >= LEAST_INSULTS) & (insults >= INSULT_SHARE * n)),
         })
 
@@ -143,7 +161,9 @@ def estimate(patterns: dict[str, int], rounds: int = 100) -> tuple[dict[str, flo
 
     Expectation-maximisation of a model in which labellers that vote err independently; row 0 of the accuracies is
     for good, row 1 for bad documents. A labeller without votes keeps its start. Starting better than chance
-    settles which class is the good one; one imagined vote a labeller and class keeps accuracies inside (0, 1).
+    settles which class is the good one; one imagined vote a labeller and class keeps accuracies inside (0, 1). On
+    good documents a labeller is taken to be right at least LEAST_ACCURACY of the time: else those that only vote
+    against rare kinds of junk would be explained away.
     """
     names = sorted(patterns)
     if not names:
@@ -158,6 +178,7 @@ def estimate(patterns: dict[str, int], rounds: int = 100) -> tuple[dict[str, flo
         weight = count * posterior, count * (1 - posterior)
         for k, right in enumerate((said > 0, said < 0)):
             accuracy[k] = (weight[k] @ right + 0.8) / (weight[k] @ (said != 0) + 1)
+        accuracy[0] = np.maximum(accuracy[0], LEAST_ACCURACY)
         share = (weight[0].sum() + 1) / (count.sum() + 2)
     return dict(zip(names, posterior.tolist(), strict=True)), accuracy
 
@@ -238,23 +259,22 @@ def classify(
     """A row for each id and text of `docs`: id, version (hash of the text), votes, posterior, score, insulting, good.
 
     LABELLERS vote on each document from simple shares (symbols, capitals, repeated words, ...), or abstain.
-    The numbers of their vote patterns over all documents (at most 3 ** 7) give their accuracies by
+    The numbers of their vote patterns over all documents (see LABELLERS) give their accuracies by
     expectation-maximisation and each pattern a posterior. Those are the labels that a linear scorer over hashed
     word forms and words is fitted to, on the `sample` documents of the smallest hashes (the one bound here; votes,
-    accuracies and scores cover all rows). good: a score of at least `threshold` and not insulting, which
-    a list of words decides.
+    accuracies and scores cover all rows). good: a score of at least `threshold`, or fewer
+    than LEAST_WORDS words, and not insulting, which a list of words decides.
 
-    Null and empty texts have no words, no votes but those of their form (none bad), and score like the average;
-    they aren't rejected. A null id is an id like any other. Rows that repeat id and text give one row. An
+    Null and empty texts have no words and no votes; like other short ones they aren't rejected. A null id is an id like any other. Rows that repeat id and text give one row. An
     empty table gives an empty result. Further columns are ignored.
     """
     rows = pick(docs, id=id_col, text=text_col).withColumn("version", F.xxhash64("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    said = stage(rows.mapInArrow(votes, f"id {id_type}, version long, votes string, insulting boolean").distinct())
+    said = stage(rows.mapInArrow(votes, f"id {id_type}, version long, votes string, long_enough boolean, insulting boolean").distinct())
     patterns = {r["votes"]: r["count"] for r in said.groupBy("votes").count().collect()}
     posterior, _ = estimate(patterns)
     spark = docs.sparkSession
-    # A row for each pattern, so at most 3 ** len(LABELLERS).
+    # A row for each pattern; see LABELLERS for how many there can be.
     known = F.broadcast(spark.createDataFrame(list(posterior.items()), "votes string, posterior double"))
     said = said.join(known, "votes")
     chosen = stage(said.orderBy(F.xxhash64("id", "version"), "id").limit(sample).select("id", "version", "posterior"))
@@ -266,7 +286,7 @@ def classify(
     scored = rows.mapInArrow(lambda batches: scores(batches, weights, offset), f"id {id_type}, version long, score double").distinct()
     a, b = said.alias("a"), scored.alias("b")
     both = a.join(b, F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.version") == F.col("b.version")))
-    good = (F.col("score") >= threshold) & ~F.col("insulting")
+    good = ((F.col("score") >= threshold) | ~F.col("long_enough")) & ~F.col("insulting")
     return both.select("a.id", "a.version", "votes", "posterior", "score", "insulting", good.alias("good"))
 
 
