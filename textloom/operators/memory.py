@@ -72,15 +72,17 @@ def grams(text: Column, size: int) -> Column:
     )
 
 
-def fuzzy_matches(queries: DataFrame, entries: DataFrame, least: float = 0.7, size: int = 3, key: str = "plain_key") -> DataFrame:
+def fuzzy_matches(queries: DataFrame, entries: DataFrame, least: float = 0.7, size: int | None = None, key: str = "plain_key") -> DataFrame:
     """(query_id, entry_id, target, score) of all pairs whose edit ratio is at least `least`.
 
     A text of n characters with at most d = floor((1 - least) * longer length) edits keeps all but size * d of its
     n - size + 1 grams. So of any size * d + 1 grams of a query one stands in every match: the rarest so many
     are its probes (prefix filtering), joined to the entries' grams; length windows cut what can't match,
     and the ratio decides. Queries too short for that many grams are joined by length instead.
-    Gram frequencies come from the entries, counted in one aggregation.
+    Gram frequencies come from the entries, counted in one aggregation. size: 3 where the score leaves enough
+    grams whole, else 2.
     """
+    size = size or (3 if least >= 0.8 else 2)
     q = queries.select("query_id", F.col(key).alias("q"), F.char_length(key).alias("n"))
     e = entries.select("entry_id", F.col(key).alias("e"), "target", F.char_length(key).alias("m"))
     longest = F.floor(F.col("n") / least + 1e-9)

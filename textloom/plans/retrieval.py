@@ -34,6 +34,15 @@ def memory_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return memory.fuzzy_matches(queries, entries, 0.85).select("query_id", "entry_id", F.round("score", 6).alias("score"))
 
 
+def memory_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of some documents with a word changed, looked up among the lines of all documents."""
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("t")).filter("char_length(t) between 20 and 120 and octet_length(t) = char_length(t)")
+    entries = lines.select("t").distinct().select(F.col("t").alias("entry_id"), F.col("t").alias("plain_key"), F.col("t").alias("target"))
+    changed = F.replace("t", F.lit(" the "), F.lit(" thee "))
+    queries = lines.filter("doc_id % 50 = 0").select(changed.alias("query_id"), changed.alias("plain_key")).distinct()
+    return memory.fuzzy_matches(queries, entries, 0.85).select("query_id", "entry_id", F.round("score", 6).alias("score"))
+
+
 def memory_tiered(spark: SparkSession, d: str) -> DataFrame:
     queries, entries = parts(spark, d)
     out = memory.tiered_lookup(queries, entries, 0.85, 3)
@@ -143,6 +152,15 @@ SELECT query_id, entry_id, target, CASE WHEN ambiguous THEN 0.99::DOUBLE ELSE 1.
         f"""
 SELECT q.p_partkey AS query_id, e.p_partkey AS entry_id, round(1 - levenshtein(q.t, e.t) / greatest(length(q.t), length(e.t)), 6) AS score
 FROM {PART} q JOIN {PART} e ON q.p_partkey % 2 = 0 AND e.p_partkey % 2 = 1 WHERE 1 - levenshtein(q.t, e.t) / greatest(length(q.t), length(e.t)) >= 0.85""",
+    ),
+    "memory_lines": (
+        memory_lines,
+        """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents), m AS (SELECT * FROM l WHERE length(t) BETWEEN 20 AND 120 AND strlen(t) = length(t)),
+e AS (SELECT DISTINCT t FROM m), q AS (SELECT DISTINCT replace(t, ' the ', ' thee ') AS t FROM m WHERE doc_id % 50 = 0)
+SELECT q.t AS query_id, e.t AS entry_id, round(1 - levenshtein(q.t, e.t) / greatest(length(q.t), length(e.t)), 6) AS score
+FROM q JOIN e ON least(length(q.t), length(e.t)) >= 0.84 * greatest(length(q.t), length(e.t))
+WHERE 1 - levenshtein(q.t, e.t) / greatest(length(q.t), length(e.t)) >= 0.85""",
     ),
     "memory_tiered": (memory_tiered, None),
     "memory_variants": (
