@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -19,41 +20,75 @@ from .common import chunks, pick, stage
 
 CAPACITY, END = 4096, 1
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a task remembers, and parts that the pieces of one length are numbered in.
-REMEMBERED, PARTS = 400_000, 64
+#: Words whose ids a worker remembers, and parts that the pieces of one length are numbered in.
+REMEMBERED, PARTS = 500_000, 64
+#: Letter words that the tokenizer gets as one text.
+TOGETHER = 1000
+#: Marks after a Latin letter and before white space, a piece of their own for the tokenizer. (Its normal form
+#: of some other letters ends in a mark, which belongs to what follows.)
+MARKS = re.compile(r"(?<=[a-zÀ-ÖØ-öø-ÿ])[.,;:!?$%&*#|]+(?=[ \n]|$)")
 
 PIECES = "id {}, piece int, start long, length int, ids_crc32 long"
-_tokenizers: dict[str, tuple[Tokenizer, dict[str, bytes]]] = {}
 
 
-def token_ids(texts: list[str], vocabulary: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers.
+class Ids:
+    """Ids of texts, remembered by word.
 
-    The tokenizer drops white space and never joins what it separates, so the ids of a text are those of
-    the runs between spaces and line ends; most runs have been seen before in a task.
+    The tokenizer lower-cases, drops white space and never joins what it separates, nor letters and the marks
+    after them; so a text's ids are those of its runs between spaces, with such marks cut off, and A-Z may
+    be lower-cased before. Texts with "<|" (special tokens are found before that) go through it whole.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
-    if vocabulary not in _tokenizers:
-        _tokenizers[vocabulary] = (Tokenizer.from_file(vocabulary), {})
-    tokenizer, known = _tokenizers[vocabulary]
-    split = [text.replace("\n", " ").split(" ") for text in texts]
-    new = list({run for runs in split for run in runs if run not in known})
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = list({run for runs in split for run in runs})
-    for a in range(0, len(new), 4096):
-        part = new[a : a + 4096]
-        for run, code in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[run] = np.array(code.ids, dtype="<u4").tobytes()
-    get = known.__getitem__
-    return [b"".join(map(get, runs)) for runs in split]
+
+    def __init__(self, vocabulary: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn(self, runs: set[str]) -> None:
+        words = [run for run in runs if run.isalpha()]
+        self.known.update((run, self.encode(run)) for run in runs if not run.isalpha())
+        for a in range(0, len(words), TOGETHER):
+            part = words[a : a + TOGETHER]
+            code = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            owner = np.array(code.word_ids, dtype=np.int64)
+            if len(owner) and owner[-1] == len(part) - 1:
+                raw = np.array(code.ids, dtype="<u4").tobytes()
+                cut = (4 * np.searchsorted(owner, np.arange(len(part) + 1))).tolist()
+                self.known.update(zip(part, (raw[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)), strict=True))
+            else:
+                self.known.update((word, self.encode(word)) for word in part)
+
+    def of_all(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of UTF-8 texts as little-endian unsigned 32-bit integers."""
+        special = {k: self.encode(text.decode()) for k, text in enumerate(texts) if b"<|" in text}
+        split = [MARKS.sub(r" \g<0>", text.lower().decode()).replace("\n", " ").split(" ") if k not in special else [] for k, text in enumerate(texts)]
+        new = set().union(*split).difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = set().union(*split)
+        self.learn(new)
+        get = self.known.__getitem__
+        return [special[k] if k in special else b"".join(map(get, runs)) for k, runs in enumerate(split)]
+
+
+_ids: dict[str, Ids] = {}
+
+
+def ids_of(vocabulary: str) -> Ids:
+    """One for each Python worker."""
+    if vocabulary not in _ids:
+        _ids[vocabulary] = Ids(vocabulary)
+    return _ids[vocabulary]
 
 
 def pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int) -> Iterator[pa.RecordBatch]:
     end = np.array([END], dtype="<u4").tobytes()
     for batch, texts in chunks(batches):
         doc, piece, start, length, crc = [], [], [], [], []
-        for i, ids in enumerate(token_ids([t.decode() for t in texts], vocabulary)):
+        for i, ids in enumerate(ids_of(vocabulary).of_all(texts)):
             ids += end
             for k in range(0, len(ids), 4 * capacity):
                 part = ids[k : k + 4 * capacity]
