@@ -184,3 +184,36 @@ def cross_entropy_difference(
         lambda d, r: score_part(d, r, totals, prior), f"id {id_type}, n_tokens long, target_loss double, background_loss double"
     )
     return out.withColumn("score", F.col("background_loss") - F.col("target_loss")).withColumnRenamed("id", id_col)
+
+
+ORACLE = f"""
+WITH d AS (
+  SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0) AS good,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w
+  FROM documents
+), t AS (
+  SELECT doc_id, good, len(w) AS n, w[p] AS x, CASE WHEN p > 1 THEN w[p - 1] END AS v
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM d)
+), one AS (SELECT x, count(*) AS c, count(*) FILTER (good) AS g FROM t GROUP BY x),
+own AS (SELECT doc_id, x, count(*) AS c FROM t GROUP BY ALL),
+two AS (SELECT v, x, count(*) AS c, count(*) FILTER (good) AS g FROM t WHERE v IS NOT NULL GROUP BY ALL),
+pairs AS (SELECT doc_id, v, x, count(*) AS c FROM t WHERE v IS NOT NULL GROUP BY ALL),
+z AS (SELECT CAST(count(*) AS DOUBLE) AS total, CAST(count(*) FILTER (good) AS DOUBLE) AS target, count(DISTINCT x) AS words FROM t),
+s AS (
+  SELECT t.doc_id, t.n, target / total AS scale, words, total, target, CAST(t.good AS INT) AS inside,
+         one.c - own.c AS c1, one.g - own.c * CAST(t.good AS INT) AS g1,
+         coalesce(two.c - pairs.c, 0) AS c2, coalesce(two.g - pairs.c * CAST(t.good AS INT), 0) AS g2,
+         coalesce(h.c - ho.c, 0) AS ch, coalesce(h.g - ho.c * CAST(t.good AS INT), 0) AS gh
+  FROM t JOIN one ON one.x = t.x JOIN own ON own.doc_id = t.doc_id AND own.x = t.x
+  LEFT JOIN two ON two.v = t.v AND two.x = t.x LEFT JOIN pairs ON pairs.doc_id = t.doc_id AND pairs.v = t.v AND pairs.x = t.x
+  LEFT JOIN one h ON h.x = t.v LEFT JOIN own ho ON ho.doc_id = t.doc_id AND ho.x = t.v, z
+), l AS (
+  SELECT doc_id,
+    -ln((least(c2, ch) * scale + {PRIOR} * ((c1 * scale + 1) / ((total - n) * scale + words))) / (ch * scale + {PRIOR})) AS b,
+    -ln((least(g2, gh) + {PRIOR} * ((g1 + 1) / (target - n * inside + words))) / (gh + {PRIOR})) AS a
+  FROM s
+), m AS (SELECT doc_id, avg(a) AS a, avg(b) AS b FROM l GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(a, 6) AS target_loss, round(b, 6) AS background_loss, round(b - a, 6) AS score
+FROM d LEFT JOIN m USING (doc_id)
+"""

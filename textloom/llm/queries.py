@@ -64,7 +64,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document: losses under the models of good labelled documents and of all documents."""
     good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0")
-    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+    found = lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+    return found.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,4 +99,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_dedup": exact_dedup.ORACLE,
         "op5_license_scan": license_scan.oracle(),
         "op7_source_mixing": mixing.oracle(),
+        "op9_lm_scoring": lm_scoring.ORACLE,
     }
