@@ -294,3 +294,28 @@ def test_registry(spark):
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries)
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_udfs(spark):
+    from textloom.functions import udfs
+
+    df = spark.createDataFrame([("é  x\n", "straße ǆ"), (None, None), ("<b>a</b> {n} %s ${x}", "x")], "t string, u string")
+    out = df.select(udfs.normalise("t").alias("n"), udfs.title_each("u").alias("c"), udfs.protect_tags("t").alias("p"), udfs.xml_error("t").alias("e"), udfs.tags("t").alias("g")).collect()
+    assert [r["n"] for r in out] == ["é x", None, "<b>a</b> {n} %s ${x}"]
+    assert [r["c"] for r in out] == ["STRAßE ǅ", None, "X"]
+    assert out[2]["p"]["tags"][:3] == ["<b>", "</b>", "{n}"] and out[2]["p"]["text"].startswith("{1}a{2} {3} {4} ")
+    assert out[2]["e"] is None and out[2]["g"][0]["start"] == 0
+    bad = spark.createDataFrame([("a < b",), ("<a></b>",), (" ",)], "t string").select(udfs.xml_error("t").alias("e")).collect()
+    assert [r["e"] is None for r in bad] == [False, False, True]
+    back = df.withColumn("p", udfs.protect_tags("t")).select("t", udfs.restore_tags("p.text", "p.tags").alias("b")).filter("t is not null").collect()
+    assert all(r["t"] == r["b"] for r in back)
+
+
+def test_layout(spark):
+    from textloom.operators import layout
+
+    frames = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (1, 2, 7), (1, 3, 6), (2, 0, 7), (2, 1, -1)], "video_id long, frame long, hash long")
+    kept = {(r["video_id"], r["frame"]) for r in layout.keep_frames(frames, 2).collect()}
+    assert kept == {(1, 0), (1, 2), (2, 0), (2, 1)}
+    formats = spark.createDataFrame([("html",), ("html@2",), ("po@1",)], "name string")
+    assert {r["name"] for r in layout.newest_formats(formats).collect()} == {"html", "po@1"}
