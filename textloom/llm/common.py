@@ -72,10 +72,12 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame) -> DataFrame:
     """Writes `df` to the shared folder and reads it again.
 
-    This cuts the lineage at data that outlives any executor, and lets the optimizer see real sizes.
+    This cuts the lineage at data that outlives any executor, and lets the optimizer see real sizes. The shuffle
+    files behind it are of no more use; Spark removes them once the driver has collected its garbage.
     """
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
