@@ -283,3 +283,25 @@ def test_classifier_odd_rows(spark):
     found = {(r["id"], r["version"]): r["good"] for r in quality.classify(docs).collect()}
     assert len(found) == 6 and not next(v for (i, _), v in found.items() if i == 5)
     assert quality.good_documents(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("size", [10, 20, 50])
+def test_line_dedup_finds_one_changed_word(spark, size):
+    rng = random.Random(size)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 7))) for _ in range(500)]
+    lines = [[rng.choice(vocabulary) for _ in range(size)] for _ in range(100)]
+    changed = []
+    for line in lines:
+        k = rng.randrange(size)
+        changed.append([*line[:k], "other", *line[k + 1 :]])
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines + changed)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs).collect()}
+    assert all(out[i] for i in range(100))
+    assert sum(out[i] == "" for i in range(100, 200)) >= 99
+
+
+def test_sharing_pairs_of_large_groups(spark):
+    lines = [(i, 50, [7, *sorted({1000 + i // 2, 2000 + i // 3})]) for i in range(90)]
+    found = {tuple(r) for r in line_dedup.sharing_pairs(spark.createDataFrame(lines, "at long, chars int, keys array<long>"), 0.8, group=4).collect()}
+    assert found >= {(a, b) for a in range(90) for b in range(a + 1, 90) if a // 2 == b // 2 or a // 3 == b // 3}
+    assert len(found) < 90 * 4
