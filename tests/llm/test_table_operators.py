@@ -305,3 +305,18 @@ def test_sharing_pairs_of_large_groups(spark):
     found = {tuple(r) for r in line_dedup.sharing_pairs(spark.createDataFrame(lines, "at long, chars int, keys array<long>"), 0.8, group=4).collect()}
     assert found >= {(a, b) for a in range(90) for b in range(a + 1, 90) if a // 2 == b // 2 or a // 3 == b // 3}
     assert len(found) < 90 * 4
+
+
+def test_line_dedup_counts_characters(spark):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(5, 8))) for _ in range(500)]
+    lines = [[rng.choice(vocabulary) for _ in range(10)] for _ in range(100)]
+    changed = []
+    for line in lines:
+        typed = rng.sample(range(10), 3)
+        changed.append([w[:2] + "x" + w[3:] if k in typed else w for k, w in enumerate(line)])
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines + changed)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs).collect()}
+    assert all(out[i] for i in range(100))
+    found = sum(out[i] == "" for i in range(100, 200))
+    assert found >= 90
