@@ -320,3 +320,12 @@ def test_line_dedup_counts_characters(spark):
     assert all(out[i] for i in range(100))
     found = sum(out[i] == "" for i in range(100, 200))
     assert found >= 90
+
+
+@pytest.mark.parametrize("others", [0, 100])
+def test_line_dedup_compares_lines_unlike_their_head(spark, others):
+    heads = ["0 0 0 0 0 9 8 7 6", *[f"0 0 0 0 0 a{i} b{i} c{i} d{i}" for i in range(others)]]
+    lines = [*heads, "0 0 0 0 0 1 2 3 4", "0 0 0 0 0 1 2 3 5"]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs).collect()}
+    assert [i for i, text in out.items() if text == ""] == [len(lines) - 1]
