@@ -319,3 +319,11 @@ def test_layout(spark):
     assert kept == {(1, 0), (1, 2), (2, 0), (2, 1)}
     formats = spark.createDataFrame([("html",), ("html@2",), ("po@1",)], "name string")
     assert {r["name"] for r in layout.newest_formats(formats).collect()} == {"html", "po@1"}
+
+
+def test_whole_tables_are_read(spark):
+    queries, folder = __spark_entry__.queries(), "/root/testdata/sf0.01"
+    docs = {r["doc_id"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").collect()}
+    moves = {int(r["path"].split("/")[1]) for r in queries["document_moves"](spark, folder).select("path").collect()}
+    assert moves <= {int(i) for i in docs} and max(moves) >= 900
+    assert queries["memory_tiered"](spark, folder).agg(F.max("query_id")).first()[0] >= 1200

@@ -15,9 +15,9 @@ def memory_keys(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("plain_key", F.col(text)).withColumn("structural_key", F.col(text)).withColumn("generalized_key", F.regexp_replace(text, "[0-9]+", "{NUMBER}"))
 
 
-def parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Queries and entries: names with brands and numbers, of even and odd parts."""
-    part = table(spark, d, "part").filter("p_partkey < 1200").withColumn("t", F.concat_ws(" ", "p_name", "p_type", F.concat(F.lit("no "), F.col("p_size"))))
+def parts(spark: SparkSession, d: str, where: str = "p_partkey < 1200") -> tuple[DataFrame, DataFrame]:
+    """Queries and entries: names with brands and numbers, of even and odd parts; by default those that the SQL reads."""
+    part = table(spark, d, "part").filter(where).withColumn("t", F.concat_ws(" ", "p_name", "p_type", F.concat(F.lit("no "), F.col("p_size"))))
     queries = memory_keys(part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("query_id"), "t"), "t").drop("t")
     entries = memory_keys(part.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("entry_id"), F.col("p_brand").alias("target"), "t"), "t").drop("t")
     return queries, entries
@@ -44,7 +44,7 @@ def memory_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def memory_tiered(spark: SparkSession, d: str) -> DataFrame:
-    queries, entries = parts(spark, d)
+    queries, entries = parts(spark, d, "true")
     out = memory.tiered_lookup(queries, entries, 0.85, 3)
     return out.groupBy("query_id").agg(F.count(F.lit(1)).alias("matches"), F.round(F.max("score"), 6).alias("best"), F.min("tier").alias("tier"))
 
@@ -109,7 +109,7 @@ def occurrence_graph(spark: SparkSession, d: str) -> DataFrame:
 
 def document_moves(spark: SparkSession, d: str) -> DataFrame:
     """Documents under new paths with changed lines."""
-    blocks = blocks_of_documents(table(spark, d, "documents").filter("doc_id < 400")).select("doc_id", "seq", F.md5("source_text").alias("h"))
+    blocks = blocks_of_documents(table(spark, d, "documents")).select("doc_id", "seq", F.md5("source_text").alias("h"))
     key = F.col("doc_id").cast("int")
     before = blocks.filter(key % 13 != 0).select(F.concat(F.lit("docs/"), "doc_id").alias("path"), "h")
     now = blocks.filter(~((key % 5 == 0) & (F.col("seq") == 1))).select(F.when(key % 3 == 0, F.concat(F.lit("moved/"), "doc_id")).otherwise(F.concat(F.lit("docs/"), "doc_id")).alias("path"), "h")
