@@ -58,25 +58,27 @@ def ascii_lower(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (`spark.checkpoint.dir`).
 
-    Only where the session has no such setting (a local session in a test) is a folder of this
-    machine taken.
+    Only a local session without that setting (as in a test) takes a folder of this machine; on a cluster,
+    where executors would each write to a disk of their own, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="textloom-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, **options: str) -> DataFrame:
     """Writes `df` to the shared folder and reads it again.
 
     This cuts the lineage at data that outlives any executor, and lets the optimizer see real sizes. The shuffle
     files behind it are of no more use; Spark removes them once the driver has collected its garbage.
     """
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
