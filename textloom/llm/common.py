@@ -80,7 +80,16 @@ def stage(df: DataFrame, **options: str) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.options(**options).parquet(path)
     df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Deletes the files of tables that `stage` returned, once nothing reads them any more."""
+    for df in staged:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_bytes(texts: DataFrame, column: str = "text") -> int:
