@@ -12,8 +12,8 @@ from .common import Words, pick, stage, text_bytes, windows_hash
 
 #: Bytes of text of a part of the corpus, and weight of the word model in the pair model, in words.
 PART_BYTES, PRIOR = 6 << 20, 8.0
-#: Bytes of an n-gram's hash that travel beside its bucket number.
-KEY_BYTES = 6
+#: Leading bytes of an n-gram's hash that travel; byte by byte, for those of sorted hashes compress.
+KEY_BYTES = 7
 
 SENT = "bucket int, part int, keys binary, counts binary"
 RETURNED = "part int, bucket int, counts binary, words long, tokens long, target_tokens long"
@@ -28,8 +28,9 @@ class Grams:
         one = words.hashes()
         two = windows_hash(one, 2)
         self.pair_at = np.flatnonzero(words.doc[1:] == words.doc[:-1]) + 1 if len(one) > 1 else np.zeros(0, dtype=np.int64)
-        # The lowest bit tells words from pairs.
-        hashes = np.concatenate([one & ~np.uint64(1), two[self.pair_at - 1] | np.uint64(1)])
+        # Of the leading bytes the lowest bit tells words from pairs.
+        last, rest = np.uint64(8 * (8 - KEY_BYTES)), ~np.uint64((1 << 8 * (8 - KEY_BYTES) + 1) - 1)
+        hashes = np.concatenate([one & rest, two[self.pair_at - 1] & rest | np.uint64(1) << last])
         self.distinct, self.place = np.unique(hashes, return_inverse=True)
         self.gram_doc = np.concatenate([self.doc, self.doc[self.pair_at]])
 
@@ -58,34 +59,38 @@ def count_part(docs: pa.Table, targets: pa.Table, buckets: int) -> pa.Table:
     chosen = members(docs, targets)[grams.gram_doc]
     size = len(grams.distinct)
     counts = np.stack([np.bincount(grams.place, minlength=size), np.bincount(grams.place[chosen], minlength=size)]).astype("<u4")
-    keys = grams.distinct.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+    keys = grams.distinct.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].T
     bucket = grams.buckets(buckets)
     start = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
     out: list[list] = [[], [], [], []]
     part = docs.column("part")[0].as_py()
     for a, b in zip(start, [*start[1:], size], strict=True):
-        row = (int(bucket[a]), part, np.ascontiguousarray(keys[a:b]).tobytes(), pack.compress(np.ascontiguousarray(counts[:, a:b]).tobytes()))
+        row = (int(bucket[a]), part, pack.compress(np.ascontiguousarray(keys[:, a:b]).tobytes()), pack.compress(np.ascontiguousarray(counts[:, a:b]).tobytes()))
         for column, value in zip(out, row, strict=True):
             column.append(value)
     return pa.table({n: pa.array(c, t) for n, c, t in zip(names, out, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
 
 
 def sum_bucket(sent: pa.Table) -> pa.Table:
-    """Counts over the whole corpus of a bucket's n-grams, for each part in the order in which it sent them."""
+    """Counts in all other parts of a bucket's n-grams, for each part in the order in which it sent them.
+
+    Most n-grams stand in one part only, so most of these are zero and compress to nothing.
+    """
     pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
     keys, counts, sizes = [], [], []
     for row in sent.select(["keys", "counts"]).to_pylist():
-        size = len(row["keys"]) // KEY_BYTES
+        raw = np.frombuffer(unpack.decompress(row["keys"]), dtype=np.uint8).reshape(KEY_BYTES, -1)
+        size = raw.shape[1]
         wide = np.zeros((size, 8), dtype=np.uint8)
-        wide[:, :KEY_BYTES] = np.frombuffer(row["keys"], dtype=np.uint8).reshape(-1, KEY_BYTES)
-        keys.append(wide.view("<u8").ravel())
+        wide[:, :KEY_BYTES] = raw.T
+        keys.append(wide.view(">u8").ravel().astype(np.uint64))
         counts.append(np.frombuffer(unpack.decompress(row["counts"]), dtype="<u4").reshape(2, -1))
         sizes.append(size)
     key, count = np.concatenate(keys), np.concatenate(counts, axis=1)
     distinct, place = np.unique(key, return_inverse=True)
     total = np.stack([np.bincount(place, weights=c, minlength=len(distinct)) for c in count])
-    word = distinct & np.uint64(1) == 0
-    back = total[:, place].astype("<u4")
+    word = distinct >> np.uint64(8 * (8 - KEY_BYTES)) & np.uint64(1) == 0
+    back = total[:, place].astype("<u4") - count
     ends = np.cumsum(sizes)
     blobs = [pack.compress(np.ascontiguousarray(back[:, b - n : b]).tobytes()) for n, b in zip(sizes, ends.tolist(), strict=True)]
     # The bucket's totals go along with its first row.
@@ -117,6 +122,8 @@ def score_part(docs: pa.Table, returned: pa.Table, totals: dict[str, int], prior
     count = np.concatenate(blobs, axis=1).astype(np.float64) if blobs else np.zeros((2, 0))
     chosen = members(docs, returned.filter(pa.compute.is_valid(returned.column("id"))))
     n_docs, n_words, size = docs.num_rows, len(grams.doc), max(len(grams.distinct), 1)
+    if blobs:  # what the part itself adds
+        count += np.stack([np.bincount(grams.place, minlength=size), np.bincount(grams.place[chosen[grams.gram_doc]], minlength=size)])
     # How often each document has the n-gram itself.
     _, where, times = np.unique(grams.gram_doc * size + grams.place, return_inverse=True, return_counts=True)
     own = times[where].astype(np.float64)
@@ -163,7 +170,7 @@ def cross_entropy_difference(
     The corpus is dealt into parts of about PART_BYTES of text. Each part sends its distinct words and
     pairs with their counts to buckets by hash and gets the corpus counts of just those back; what is
     exchanged grows with the corpus, and nothing of its size is broadcast or held by one task. N-grams are
-    told apart by 48 bits and their bucket number.
+    told apart by 56 bits. What a part sends and gets is cut into as many parcels as there are parts.
 
     Null and empty texts have n_tokens 0 and null losses and score. Null ids are in no target. Rows that
     repeat an id are documents of their own, in the target if the id is. Without target documents both models
