@@ -207,3 +207,22 @@ def test_license_scan_base_places(spark):
 
 def test_license_scan_empty(nothing):
     assert license_scan.license_scan(nothing).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("all rights reserved " * 6, ""),
+        ("copy of the license " * 9, ""),
+        ("all rights reserved " * 6 + "no part of this publication may be reproduced", "all-rights-reserved"),
+        ("creative commons attribution " * 8, ""),
+        ("x " + license_scan.TEMPLATES["cc-by"], "cc-by"),
+        ("x " + license_scan.TEMPLATES["cc-by-nc"] + " y", "cc-by-nc"),
+        (license_scan.TEMPLATES["cc-by"] + " and so on " * 9 + license_scan.TEMPLATES["cc-by-nc"], "cc-by,cc-by-nc"),
+        (license_scan.TEMPLATES["mit"].replace("free of charge", "without any charge at all"), "mit"),
+    ],
+)
+def test_license_spans_are_verified(spark, text, labels):
+    docs = spark.createDataFrame([(1, text), (1, text), (2, None)], "doc_id long, text string")
+    found = license_scan.license_scan(docs).orderBy("doc_id").collect()
+    assert [r["labels"] for r in found] == [labels, labels, ""]

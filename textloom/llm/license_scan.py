@@ -65,9 +65,11 @@ def license_scan(
     """A row per row of `docs`: id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     All rolling 3-grams of a text's words are joined to the template positions that have the same gram
-    (by hash, then word by word). Hits on one diagonal (word position minus template position) are
-    counted; diagonals at most `slack` apart in one template are merged to a span, and a span counts
-    if its hits make up `coverage` of the template's grams. A phrase counts at a diagonal that
+    (by hash, then word by word). Hits vote for their diagonal (word position minus template position);
+    diagonals at most `slack` apart in one template are merged to a span. A span is verified: it counts if
+    the distinct template positions it hits make up `coverage` of the template's grams, in a stretch of words not longer than
+    the template's by 1 / `coverage`, and if no overlapping span of another template keeps a larger share (then more
+    grams, then the later label). A phrase counts at a diagonal that
     holds all its grams, that is, where its words stand consecutively; those places are n_base.
     labels are those of places and spans; score is the best share of grams kept, 1 for a phrase, 0 for none;
     spans lists (label, first word, last word, share) of the templates found.
@@ -110,33 +112,55 @@ def license_scan(
     key = ["id", "version"]
     diagonals = hits.groupBy(*key, "template", (F.col("place") - F.col("at")).alias("diagonal")).agg(
         F.count(F.lit(1)).alias("votes"),
+        F.collect_set("at").alias("found"),
         F.min("place").alias("first"),
         F.max("place").alias("last"),
         *[F.first(c).alias(c) for c in ("label", "base", "grams")],
     )
     whole = Window.partitionBy(*key)
     along = Window.partitionBy(*key, "template").orderBy("diagonal")
-    merged = (
+    spans = (
         # The empty word has no template; its votes are the number of equal rows, its place the number of words.
         diagonals.withColumn("copies", F.max(F.when(F.col("template").isNull(), F.col("votes"))).over(whole))
         .withColumn("n_words", F.max(F.when(F.col("template").isNull(), F.col("last"))).over(whole))
-        .withColumn("votes", F.col("votes") / F.col("copies"))
         .withColumn(
             "new",
             (F.coalesce("base", F.lit(True)) | (F.col("diagonal") - F.lag("diagonal").over(along) > slack)).cast("int"),
         )
         .withColumn("span", F.sum(F.coalesce("new", F.lit(1))).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy(*key, "template", "span")
-        .agg(
-            *[F.first(c).alias(c) for c in ("label", "base", "grams", "copies", "n_words")],
-            F.least(F.sum("votes") / F.first("grams"), F.lit(1.0)).alias("share"),
-            F.min("first").alias("first"),
-            (F.max("last") + GRAM - 1).alias("last"),
-        )
+        .withColumn("one", F.struct(F.size("found").alias("hits"), (-F.col("first")).alias("first"), "last"))
+    )
+    # Each template position counts once, on however many diagonals of the span it was hit.
+    span_key = [*key, "template", "span", "label", "base", "grams", "copies", "n_words"]
+    merged = (
+        spans.withColumn("at", F.explode_outer("found"))
+        .groupBy(*span_key, "at")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("one").alias("one"))
+        .groupBy(*span_key)
+        .agg(F.count("at").alias("hits"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("one").alias("one"))
+    )
+    # A span longer than a template with as many words put in as may be lacking isn't one passage: its best diagonal counts.
+    compact = (F.col("last") - F.col("first") + GRAM) * coverage <= F.col("grams") + (GRAM - 1)
+    merged = merged.select(
+        *span_key,
+        F.when(compact, F.col("hits") / F.col("grams")).otherwise(F.col("one.hits") / F.col("grams")).alias("share"),
+        F.when(compact, F.col("first")).otherwise(-F.col("one.first")).alias("first"),
+        (F.when(compact, F.col("last")).otherwise(F.col("one.last")) + GRAM - 1).alias("last"),
+    )
+    verified = merged.filter(F.coalesce("base", F.lit(True)) | (F.col("share") >= coverage))
+    # Of spans that overlap the best wins. None is longer than `reach`, so rivals start near, and there they are few.
+    reach = max([len(t.split()) for t in templates.values()], default=0) / coverage
+    near = Window.partitionBy(*key).orderBy("first").rangeBetween(-int(reach) - 1, int(reach) + 1)
+    passage = F.when(~F.coalesce("base", F.lit(True)), F.struct("share", "grams", "label", "first", "last"))
+    rivals = F.filter(
+        F.collect_list(passage).over(near),
+        lambda o: (o["label"] != F.col("label")) & (o["first"] <= F.col("last")) & (o["last"] >= F.col("first"))
+        & (F.struct(o["share"], o["grams"], o["label"]) > F.struct("share", "grams", "label")),
     )
+    verified = verified.withColumn("beaten", (F.size(rivals) > 0) & ~F.coalesce("base", F.lit(True)))
     base = F.col("base") & (F.col("share") >= 1)
-    span = ~F.col("base") & (F.col("share") >= coverage)
-    out = merged.groupBy(*key).agg(
+    span = ~F.col("base") & ~F.col("beaten")
+    out = verified.groupBy(*key).agg(
         F.first("copies").alias("copies"),
         F.first("n_words").cast("long").alias("n_words"),
         F.count_if(base).alias("n_base"),
@@ -172,22 +196,34 @@ d AS (
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
   FROM documents
-), g AS (SELECT doc_id, w, unnest(range(0, len(w) - {GRAM - 1})) AS p FROM d),
+), r AS (SELECT doc_id, w, unnest(range(0, len(w) - {GRAM - 1})) AS p FROM d),
 h AS (
   SELECT doc_id, template, label, base, grams, p - pos AS diagonal, p
-  FROM g JOIN t ON w[p + 1] = t0 AND w[p + 2] = t1 AND w[p + 3] = t2
+  FROM r JOIN t ON w[p + 1] = t0 AND w[p + 2] = t1 AND w[p + 3] = t2
 ), v AS (
-  SELECT doc_id, template, label, base, grams, diagonal, count(*) AS votes, min(p) AS first
+  SELECT doc_id, template, label, base, grams, diagonal, count(*) AS votes, min(p) AS first, max(p) AS last
   FROM h GROUP BY ALL
 ), n AS (
   SELECT *, CASE WHEN base OR diagonal - lag(diagonal) OVER a > {SLACK} THEN 1 ELSE 0 END AS new
   FROM v WINDOW a AS (PARTITION BY doc_id, template ORDER BY diagonal)
 ), s AS (
   SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM n
+), q AS (
+  SELECT doc_id, template, label, base, grams, span, count(DISTINCT p - s.diagonal) AS hits, min(p) AS first, max(p) AS last
+  FROM s JOIN h USING (doc_id, template, label, base, grams, diagonal) GROUP BY ALL
+), b AS (
+  SELECT doc_id, template, span, max(struct_pack(hits := votes, first := -first, last := last)) AS one FROM s GROUP BY ALL
 ), m AS (
-  SELECT doc_id, label, base, least(sum(votes) / grams, 1.0) AS share, min(first) AS first
-  FROM s GROUP BY doc_id, template, label, base, grams, span
-), k AS (SELECT * FROM m WHERE share >= CASE WHEN base THEN 1 ELSE {COVERAGE} END),
+  SELECT doc_id, label, base, grams, (last - first + {GRAM}) * {COVERAGE} <= grams + {GRAM - 1} AS compact,
+         CASE WHEN compact THEN hits / grams ELSE one.hits / grams END AS share,
+         CASE WHEN compact THEN first ELSE -one.first END AS first, CASE WHEN compact THEN last ELSE one.last END + {GRAM - 1} AS last
+  FROM q JOIN b USING (doc_id, template, span)
+), g AS (SELECT * FROM m WHERE share >= CASE WHEN base THEN 1 ELSE {COVERAGE} END),
+k AS (
+  SELECT * FROM g WHERE base OR NOT EXISTS (
+    SELECT 1 FROM g o WHERE o.doc_id = g.doc_id AND NOT o.base AND o.label <> g.label AND o.first <= g.last AND o.last >= g.first
+      AND (o.share, o.grams, o.label) > (g.share, g.grams, g.label))
+),
 o AS (
   SELECT doc_id, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word,
          max(first) FILTER (base) AS last_word,
