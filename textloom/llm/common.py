@@ -71,15 +71,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/textloom-{uuid.uuid4().hex}"
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that are done: it does so once the driver has collected its garbage.
+
+    Those of the plan that ended last may still be held by its closing events; a later call frees them.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def stage(df: DataFrame, **options: str) -> DataFrame:
     """Writes `df` to the shared folder and reads it again.
 
     This cuts the lineage at data that outlives any executor, and lets the optimizer see real sizes. The shuffle
-    files behind it are of no more use; Spark removes them once the driver has collected its garbage.
+    files behind it are of no more use.
     """
     path = shared_dir(df.sparkSession)
+    free_shuffles(df.sparkSession)
     df.write.options(**options).parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    free_shuffles(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out

@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, pick, stage, text_bytes, windows_hash
+from .common import Words, free_shuffles, pick, stage, text_bytes, windows_hash
 
 #: Bytes of text of a part of the corpus, and weight of the word model in the pair model, in words.
 PART_BYTES, PRIOR = 6 << 20, 8.0
@@ -185,6 +185,7 @@ def cross_entropy_difference(
     sent = rows.groupBy("part").cogroup(ids.groupBy("part")).applyInArrow(lambda d, t: count_part(d, t, number), SENT)
     returned = stage(sent.groupBy("bucket").applyInArrow(sum_bucket, RETURNED))
     totals = returned.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "tokens", "target_tokens")]).first().asDict()
+    free_shuffles(docs.sparkSession)  # texts and n-grams of the counts, before texts are dealt again
     answers = returned.select("part", "bucket", "counts").unionByName(ids, allowMissingColumns=True)
     id_type = rows.schema["id"].dataType.simpleString()
     out = rows.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(
