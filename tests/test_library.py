@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from textloom.functions import identity, runs, text
-from textloom.operators import checks, diff, govern, graph, history, memory, segmentation, stats, terms
+from textloom.operators import checks, diff, govern, graph, history, layout, memory, segmentation, stats, terms
 from textloom.plans import flow, tools  # noqa: F401
 from textloom.sources import lexers, tables
 from textloom.streaming import feeds
@@ -164,7 +164,7 @@ def test_scores_and_gates(spark):
     counts = spark.createDataFrame([(200, 101, 0)], "a long, b long, c long")
     assert [(r["percent"], r["lost"]) for r in govern.funnel(counts, ["a", "b", "c"]).orderBy("ordinal").collect()] == [(100, 0), (51, 99), (0, 101)]
     texts = spark.createDataFrame([("paste", "x", "abcdef"), ("url", "a", "ghij"), ("repo", "r", "klm")], "kind string, label string, text string")
-    kept = govern.corpus_budget(texts, {"paste": 0, "url": 1, "file": 2, "repo": 3}, 8).orderBy("label").collect()
+    kept = govern.corpus_budget(texts, {"paste": 0, "url": 1, "file": 2, "repo": 3}, 60).orderBy("label").collect()
     assert [(r["label"], r["text"]) for r in kept] == [("a", "gh"), ("x", "abcdef")]
     single = stats.describe(spark.createDataFrame([(3.0,)], "v double"), F.col("v")).first()
     assert single["stddev"] == 0 and single["median"] == 3
@@ -249,7 +249,7 @@ def test_flow_checks(spark):
     assert flow.passes(["word-count", "create-target"], ["de", "fr"]) == [["de"], ["fr"]]
     df = spark.createDataFrame([("b1", " Hi  all ", "", True), ("b2", "x", "weird", False)], "block_id string, source_text string, source_status string, translatable boolean")
     out = flow.run(df, [("whitespace-correct", {}), ("case-transform", {}), ("create-target", {}), ("source-gate", {"required": "authored"})]).orderBy("block_id").collect()
-    assert [(r["source_text"], r["target_text"], r["held"]) for r in out] == [("HI ALL", "HI ALL", False), ("x", "x", True)]
+    assert [(r["source_text"], r["target_text"], r["held"]) for r in out] == [("HI ALL", "HI ALL", False), ("x", "x", False)]
 
 
 def drain(query):
@@ -327,3 +327,59 @@ def test_whole_tables_are_read(spark):
     moves = {int(r["path"].split("/")[1]) for r in queries["document_moves"](spark, folder).select("path").collect()}
     assert moves <= {int(i) for i in docs} and max(moves) >= 900
     assert queries["memory_tiered"](spark, folder).agg(F.max("query_id")).first()[0] >= 1200
+
+
+def test_rules_of_status_and_hygiene(spark):
+    pairs = spark.createDataFrame([("forbidden", "preferred"), ("admitted", "proposed"), ("preferred", "preferred"), ("gone", "preferred"), (None, "preferred")], "a string, b string")
+    assert [r[0] for r in pairs.select(terms.may_change(F.col("a"), F.col("b"))).collect()] == [True, True, True, False, False]
+    texts = {"": ["empty"], " \n\t": ["empty"], " a": ["leading-whitespace"], "a\n": [], "a\r\n": [], "a\n\n": ["trailing-whitespace"], "a ": ["trailing-whitespace"], "a  b": ["double-spaces"], "The the cat": ["doubled-word"], "a\u0007b": ["control-char"], "fine": []}
+    rows = spark.createDataFrame([(t, t) for t in texts], "k string, t string")
+    found = {}
+    for r in checks.lint(rows, ["k"], "t").collect():
+        found.setdefault(r["k"], []).append(r["category"])
+        assert r["severity"] == ("major" if r["category"] == "empty" else "minor")
+    assert {k: sorted(v) for k, v in texts.items() if v} == {k: sorted(v) for k, v in found.items()}
+    assert one(spark, text.placeholders(F.lit("{n, number} {} %v %% ${a}"))) == ["{n, number}", "%v", "%%", "${a}"]
+
+
+def test_governance_figures(spark):
+    days = spark.createDataFrame([(g, k, s, 1) for g, k, s in [("a", 1, 90.0), ("a", 2, 70.0), ("b", 1, 50.0), ("c", 1, 90.04), ("c", 2, 80.0)]] + [("d", 1, 1.0, 0)], "g string, day int, score double, n int")
+    out = {r["g"]: (r["recent"], r["baseline"], r["drop"], r["drifted"]) for r in govern.drift(days, ["g"], "day", "score", "n", recent=1).collect()}
+    assert out == {"a": (70.0, 90.0, 20.0, True), "b": (50.0, 50.0, 0.0, False), "c": (80.0, 90.0, 10.0, True), "d": (0.0, 0.0, 0.0, False)}
+    low = {r["g"]: r["drifted"] for r in govern.drift(days, ["g"], "day", "score", "n", recent=1, floor=60).collect()}
+    assert low == {"a": False, "b": True, "c": False, "d": False}
+    counts = spark.createDataFrame([(100, 40, 60, 30, 90)], "a long, b long, c long, d long, t long")
+    steps = govern.funnel(counts, [("a", "blocks"), ("b", "blocks"), ("c", "blocks"), ("d", "targets")], {"blocks": "a", "targets": "t"})
+    assert [(r["percent"], r["lost"]) for r in steps.orderBy("ordinal").collect()] == [(100, 0), (40, 60), (60, 0), (33, 0)]
+    schema = "k int, category string, severity string, replacement string"
+    before = spark.createDataFrame([(1, "x", "major", ""), (2, "x", "minor", "")], schema)
+    after = spark.createDataFrame([(1, "x", "major", ""), (1, "y", "critical", "z"), (3, "y", "minor", None)], schema)
+    blocks = spark.createDataFrame([(k, "g") for k in range(1, 5)], "k int, by string")
+    r = govern.blast_radius(blocks, before, after, "k", "by").first()
+    assert (r["blocks"], r["affected"], r["prescribed"], r["improved"], r["degraded"]) == (4, 3, 1, 1, 2)
+    assert (r["new_violations"], r["resolved_violations"], r["critical"], r["mean_delta"]) == (2, 1, 1, (-25 + 1 - 1) / 3)
+    docs = spark.createDataFrame([(1, "aXb")], "k int, t string")
+    assert [tuple(r) for r in govern.pattern_findings(docs, [("bad", "(", "minor"), ("x", "X|$", "")], "k", "t").collect()] == [(1, "x", "major", 1)]
+    assert [r["rule"] for r in govern.unmet_patterns(docs, [("bad", "("), ("y", "Y")], "k", "t").collect()] == ["y"]
+
+
+def test_edits_gates_and_order(spark):
+    blocks = spark.createDataFrame([("1", "one", True), ("2", "two", True), ("3", "three", True), ("4", "four", False), ("5", "five", True)], "block_id string, source_text string, translatable boolean")
+    h = {r["source_text"]: r["h"] for r in blocks.select("source_text", identity.content_hash(F.col("source_text")).alias("h")).collect()}
+    edits = spark.createDataFrame([("1", "stale", "one"), ("2", "stale", "2"), ("x", h["three"], "3"), ("4", "", "4")], "block_id string, expected_hash string, new_text string")
+    out = {r["block_id"]: (r["source_text"], r["edit_state"]) for r in flow.run(blocks, [("apply-edits", {"edits": edits})]).collect()}
+    assert out == {"1": ("one", "skipped"), "2": ("two", "stale"), "3": ("3", "applied"), "4": ("four", "none"), "5": ("five", "none")}
+    gated = spark.createDataFrame([("1", "a", "", True), ("2", " ", "approved", True), ("3", "a", "approved", True), ("4", "", "odd", False)], "block_id string, source_text string, source_status string, translatable boolean")
+    out = {r["block_id"]: (r["source_status"], r["held"]) for r in flow.run(gated, [("source-gate", {})]).collect()}
+    assert out == {"1": ("checked", False), "2": ("authored", True), "3": ("approved", False), "4": ("odd", False)}
+    regions = spark.createDataFrame([(1, "b", 0.0, 50.0), (1, "c", 100.0, 0.0), (1, "a", 10.0, 0.0), (1, "d", 130.0, 5.0), (1, "e", 160.0, 1.0)], "page int, region_id string, x double, y double").withColumn("w", F.lit(80.0)).withColumn("h", F.lit(20.0))
+    order = layout.reading_order(regions).orderBy("ordinal").collect()
+    assert [(r["region_id"], r["ordinal"]) for r in order] == [("a", 0), ("b", 1), ("c", 2), ("d", 3), ("e", 4)]
+    unknown = feeds.quiet(F.lit(dt.datetime(2024, 1, 1, 23)), F.lit("Nowhere/Land"), F.lit("22:00"), F.lit("06:00"))
+    assert one(spark, unknown) is False
+
+
+def test_key_columns(spark):
+    assert [tables.is_key_header(n) for n in ("ID", "message key", "product_id", "Ref", "name", "token", "paid", "x.uuid")] == [True, True, True, True, False, False, False, True]
+    rows = spark.createDataFrame([("1", "a", "x"), ("1", "b", "y")], "id string, `my code` string, name string")
+    assert tables.key_column(rows) == "my code" and tables.key_column(rows.select("name")) is None

@@ -17,7 +17,7 @@ RUN = (
 )
 RUNS = f"array<{RUN}>"
 
-#: Element or subtype -> meaning of an inline code.
+#: HTML element -> meaning of an inline code.
 SPAN_TYPES = {
     "b": "fmt:bold",
     "strong": "fmt:bold",
@@ -26,12 +26,32 @@ SPAN_TYPES = {
     "u": "fmt:underline",
     "s": "fmt:strikethrough",
     "del": "fmt:strikethrough",
+    "strike": "fmt:strikethrough",
+    "a": "link:hyperlink",
+    "code": "fmt:code",
+    "kbd": "fmt:code",
+    "samp": "fmt:code",
+    "tt": "fmt:code",
     "sub": "fmt:subscript",
     "sup": "fmt:superscript",
-    "code": "fmt:code",
-    "a": "link:hyperlink",
-    "img": "media:image",
+    "mark": "fmt:highlight",
     "br": "struct:break",
+    "hr": "struct:break",
+    "img": "media:image",
+}
+
+#: Subtype -> meaning of an inline code.
+SUBTYPES = {
+    "okapi:bold": "fmt:bold",
+    "okapi:italic": "fmt:italic",
+    "okapi:underline": "fmt:underline",
+    "okapi:strikethrough": "fmt:strikethrough",
+    "okapi:link": "link:hyperlink",
+    "okapi:code": "fmt:code",
+    "okapi:subscript": "fmt:subscript",
+    "okapi:superscript": "fmt:superscript",
+    "okapi:break": "struct:break",
+    "okapi:image": "media:image",
 }
 
 
@@ -106,7 +126,7 @@ def strip_codes(runs: Column, breaks_to_space: bool = True) -> Column:
 
 def classify_spans(runs: Column) -> Column:
     """Codes of type 'code' or none get the meaning of their subtype or HTML tag, if there is one."""
-    known = F.create_map(*[F.lit(x) for pair in SPAN_TYPES.items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in (SPAN_TYPES | SUBTYPES).items() for x in pair])
 
     def named(r: Column) -> Column:
         tag = F.lower(F.regexp_extract(F.coalesce(r["data"], F.lit("")), r"^</?([A-Za-z][A-Za-z0-9]*)", 1))

@@ -13,7 +13,7 @@ SPACE = r"(?U)\s"
 WORD = r"(?U)[^\s\x{E000}-\x{F8FF}]+"
 
 #: The placeholder forms that a translation must keep.
-PLACEHOLDER = r"\{\{[^{}]*\}\}|\$\{[^{}]*\}|%\([A-Za-z_][A-Za-z0-9_]*\)[sdifeEgGxXoc]|%[0-9]+\$[sdifeEgGxXoc@]|%[sdifeEgGxXoc@]|\{[A-Za-z0-9_.]*\}|</?[0-9]+/?>"
+PLACEHOLDER = r"\{\{[^{}]+\}\}|\$\{[^{}]+\}|%\([^)]+\)[a-zA-Z]|%\d+\$[a-zA-Z]|%[sdifeEgGxXobpqv@%]|\{[^{}]+\}|</?[0-9]+>"
 
 ZERO_WIDTH = r"[\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}]"
 
@@ -90,19 +90,22 @@ def placeholders(text: Column) -> Column:
 
 
 def has_doubled_word(text: Column) -> Column:
-    return text.rlike(r"(?i)(?U)\b(\p{L}+)\s+\1\b")
+    """Whether a word follows itself, in whatever case."""
+    words = F.split(F.lower(text), r"[ \n\t]+")
+    return F.exists(F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: (a == b) & (a != "")), lambda same: F.coalesce(same, F.lit(False)))
 
 
-def has_double_space(text: Column) -> Column:
-    return text.rlike(r"[^\s]  +[^\s]")
+def has_leading_space(text: Column) -> Column:
+    return text.rlike(r"(?U)\A\s")
 
 
-def has_edge_space(text: Column) -> Column:
-    return text.rlike(r"(?U)^\s|\s$")
+def has_trailing_space(text: Column) -> Column:
+    """White space at the end, but for one line break, which ends a text as it ends a line."""
+    return F.regexp_replace(text, r"\r?\n\z", "").rlike(r"(?U)\s\z")
 
 
 def has_control_char(text: Column) -> Column:
-    return text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
+    return text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]")
 
 
 def pseudo(text: Column, prefix: str = "[", suffix: str = "]", expand: int = 0) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: HTML or XML tags, braces, percent and template placeholders.
-TAGS = (r"</?[A-Za-z][^<>]*>", r"\{\{?[^{}]*\}?\}", r"%(?:\d+\$)?[sdif@]", r"\$\{[^{}]*\}")
+TAGS = (r"<[^>]+>", r"\{[^}]+\}", r"%[sdfoexXbBhHtT%]+", r"\$\{[^}]+\}")
 
 # Types as objects: workers, which import this module without a session, can't parse type strings.
 TAG = StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("text", StringType())])

@@ -30,14 +30,19 @@ def findings(blocks: DataFrame, keys: list[str], checks: Mapping[str, tuple[str,
 
 
 def lint(blocks: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    body = F.col(text_col)
+    """Hygiene of single texts. An empty text (null, too) is the one major finding and the only one it gets."""
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    some = text.trim_space(body) != ""
     return findings(
         blocks,
         keys,
         {
-            "double_space": ("minor", text.has_double_space(body)),
-            "edge_space": ("minor", text.has_edge_space(body)),
-            "control_char": ("major", text.has_control_char(body)),
+            "empty": ("major", ~some),
+            "leading-whitespace": ("minor", some & text.has_leading_space(body)),
+            "trailing-whitespace": ("minor", some & text.has_trailing_space(body)),
+            "double-spaces": ("minor", some & F.contains(body, F.lit("  "))),
+            "doubled-word": ("minor", some & text.has_doubled_word(body)),
+            "control-char": ("minor", some & text.has_control_char(body)),
         },
     )
 

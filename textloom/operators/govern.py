@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checks import weight
+
 
 def gate_rollup(pairs: DataFrame, verdicts: DataFrame, keys: list[str], by: list[str], least: float) -> DataFrame:
     """Per group: pairs, those with a verdict on the current basis, those that pass, those held.
@@ -33,55 +35,84 @@ def share_percent(part: Column, total: Column) -> Column:
     return F.when(total > 0, F.floor((F.floor(part * 200 / total) + 1) / 2)).otherwise(0).cast("long")
 
 
-def funnel(counts: DataFrame, steps: list[str]) -> DataFrame:
-    """From one row of counts: step, n, percent of the first step, drop from the step before."""
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(k + 1).alias("ordinal"),
-                F.lit(s).alias("step"),
-                F.col(s).alias("n"),
-                share_percent(F.col(s), F.col(steps[0])).alias("percent"),
-                (F.col(steps[k - 1]) - F.col(s) if k else F.lit(0).cast("long")).alias("lost"),
-            )
-            for k, s in enumerate(steps)
-        ]
-    )
-    return counts.select(F.explode(rows).alias("r")).select("r.*")
-
+def funnel(counts: DataFrame, steps: list[str | tuple[str, str]], totals: dict[str, str] | None = None) -> DataFrame:
+    """From one row of counts: step, n, percent of the total of the step's basis, drop from the step before.
 
-def drift(trends: DataFrame, by: list[str], at: str, score: str, weight: str, recent: int = 7, least_drop: float = 10.0) -> DataFrame:
-    """Weighted mean of the last `recent` rows of each group against the rows before them."""
+    A step is a column or (column, basis); totals: basis -> column of its total, else the first step. A drop counts
+    within a basis only and isn't negative.
+    """
+    named = [(s, "") if isinstance(s, str) else s for s in steps]
+    whole = totals or {}
+    rows = []
+    for k, (step, basis) in enumerate(named):
+        follows = k > 0 and named[k - 1][1] == basis
+        lost = F.greatest(F.col(named[k - 1][0]) - F.col(step), F.lit(0).cast("long")) if follows else F.lit(0).cast("long")
+        percent = share_percent(F.col(step), F.col(whole.get(basis, named[0][0])))
+        rows.append(F.struct(F.lit(k + 1).alias("ordinal"), F.lit(step).alias("step"), F.col(step).alias("n"), percent.alias("percent"), lost.alias("lost")))
+    return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def drift(trends: DataFrame, by: list[str], at: str, score: str, weight: str, recent: int = 7, least_drop: float = 0.0, floor: float = 0.0) -> DataFrame:
+    """Weighted mean of the last `recent` rows of each group against that of the rows before them (of none: itself).
+
+    A group drifts if its recent mean is below `floor` or has dropped by `least_drop`; with neither given by 10. Without
+    recent weight the means are 0 and nothing drifts.
+    """
+    least = 10.0 if not least_drop and not floor else least_drop
     newest = Window.partitionBy(*by).orderBy(F.desc(at))
-    marked = trends.withColumn("_recent", F.row_number().over(newest) <= recent)
+    marked = trends.withColumn("_new", F.row_number().over(newest) <= recent)
 
     def mean(condition: Column) -> Column:
-        return F.sum(F.when(condition, F.col(score) * F.col(weight))) / F.sum(F.when(condition, F.col(weight)))
+        total = F.sum(F.when(condition, F.col(weight)))
+        return F.coalesce(F.try_divide(F.sum(F.when(condition, F.col(score) * F.col(weight))), total).cast("double"), F.lit(0.0))
 
+    new, old = F.col("_new"), ~F.col("_new")
     out = marked.groupBy(*by).agg(
-        F.round(mean(F.col("_recent")), 1).alias("recent"), F.round(mean(~F.col("_recent")), 1).alias("baseline")
+        mean(new).alias("_r"), mean(old).alias("_b"), F.count_if(old).alias("_rows"), F.coalesce(F.sum(F.when(new, F.col(weight))), F.lit(0)).alias("recent_count")
     )
-    drop = F.round(F.col("baseline") - F.col("recent"), 1)
-    return out.withColumn("drop", drop).withColumn("drifted", F.coalesce(F.col("drop") >= least_drop, F.lit(False)))
+    out = out.withColumn("_b", F.when(F.col("_rows") > 0, F.col("_b")).otherwise(F.col("_r"))).withColumn("drop", F.round(F.col("_b") - F.col("_r"), 1))
+    fell = (F.lit(floor > 0) & (F.col("_r") < floor)) | (F.lit(least > 0) & (F.col("drop") >= least))
+    return out.select(*by, F.round("_r", 1).alias("recent"), F.round("_b", 1).alias("baseline"), "drop", "recent_count", ((F.col("recent_count") > 0) & fell).alias("drifted"))
 
 
 def blast_radius(blocks: DataFrame, before: DataFrame, after: DataFrame, key: str, by: str) -> DataFrame:
-    """What a new rule set changes per group: blocks affected, improved, degraded; violations new and resolved.
+    """What a new rule set changes per group: blocks affected, prescribed, improved, degraded; violations new, resolved and
+    critical; and the mean change of score of affected blocks.
 
-    before, after: findings (key, category) under the old and the new rules.
+    before, after: findings (key, category, severity, replacement) under the old and the new rules. A category that one
+    side alone has is new or resolved; a new one with a replacement prescribes. A block's score is 100 less the penalties
+    of all its findings, at least 0.
     """
-    a, b = before.select(key, "category").distinct(), after.select(key, "category").distinct()
-    delta = a.withColumn("_n", F.lit(-1)).unionByName(b.withColumn("_n", F.lit(1))).groupBy(key, "category").agg(F.sum("_n").alias("d"))
-    per_block = delta.groupBy(key).agg(F.count_if(F.col("d") > 0).alias("new"), F.count_if(F.col("d") < 0).alias("resolved"))
-    joined = blocks.select(key, by).join(per_block, key, "left").fillna(0, ["new", "resolved"])
-    new, gone = F.col("new"), F.col("resolved")
+    sides = before.withColumn("_side", F.lit(0)).unionByName(after.withColumn("_side", F.lit(1)))
+    old, new = F.col("_side") == 0, F.col("_side") == 1
+    rules = sides.groupBy(key, "category").agg(
+        F.bool_or(old).alias("_old"),
+        F.bool_or(new).alias("_new"),
+        F.coalesce(F.bool_or(new & (F.col("severity") == "critical")), F.lit(False)).alias("_critical"),
+        F.coalesce(F.bool_or(new & (F.coalesce("replacement", F.lit("")) != "")), F.lit(False)).alias("_fix"),
+        F.sum(F.when(old, weight(F.col("severity"))).otherwise(0)).alias("_was"),
+        F.sum(F.when(new, weight(F.col("severity"))).otherwise(0)).alias("_is"),
+    )
+    added = F.col("_new") & ~F.col("_old")
+    per_block = rules.groupBy(key).agg(
+        F.count_if(added).alias("new"),
+        F.count_if(F.col("_old") & ~F.col("_new")).alias("gone"),
+        F.count_if(added & F.col("_critical")).alias("critical"),
+        F.bool_or(added & F.col("_fix")).alias("fix"),
+        (F.greatest(100 - F.sum("_is"), F.lit(0)) - F.greatest(100 - F.sum("_was"), F.lit(0))).alias("delta"),
+    )
+    joined = blocks.select(key, by).join(per_block, key, "left").fillna(0, ["new", "gone", "critical", "delta"]).fillna(False, ["fix"])
+    changed = (F.col("new") > 0) | (F.col("gone") > 0)
     return joined.groupBy(by).agg(
         F.count(F.lit(1)).alias("blocks"),
-        F.count_if((new > 0) | (gone > 0)).alias("affected"),
-        F.count_if(gone > new).alias("improved"),
-        F.count_if(new > gone).alias("degraded"),
+        F.count_if(changed).alias("affected"),
+        F.count_if("fix").alias("prescribed"),
+        F.count_if(F.col("delta") > 0).alias("improved"),
+        F.count_if(F.col("delta") < 0).alias("degraded"),
         F.sum("new").alias("new_violations"),
-        F.sum("resolved").alias("resolved_violations"),
+        F.sum("gone").alias("resolved_violations"),
+        F.sum("critical").alias("critical"),
+        F.coalesce(F.avg(F.when(changed, F.col("delta"))), F.lit(0.0)).alias("mean_delta"),
     )
 
 
@@ -95,16 +126,26 @@ def ship_manifest(coverage: DataFrame, by: str) -> DataFrame:
     return coverage.groupBy(by).agg(F.bool_and(F.col("shippable") & F.col("verified")).alias("ships"))
 
 
-def corpus_budget(sources: DataFrame, ranks: dict[str, int], budget: int, kind: str = "kind", label: str = "label", text: str = "text") -> DataFrame:
-    """Sources by rank of their kind, then label, until the budget of characters is used; the crossing one is cut.
+def corpus_budget(sources: DataFrame, ranks: dict[str, int], budget: int, kind: str = "kind", label: str = "label", text: str = "text", by: list[str] | None = None) -> DataFrame:
+    """Sources with text by rank of their kind, then label, that fit a budget of characters (0: none); columns as given.
 
-    The running sum orders all sources of a project in one window; sources are a project's few inputs.
+    Each takes a header line, the line break after it and, but for the first, two before it, then its trimmed text. The
+    one that crosses the budget is cut, and none follows one of which nothing fits. A project's sources (`by`) are
+    its few inputs: the running sum orders them in one window.
     """
     known = F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])
-    order = Window.partitionBy(F.lit(1)).orderBy("_rank", label).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = sources.withColumn("_rank", F.coalesce(F.try_element_at(known, F.col(kind)), F.lit(len(ranks))))
-    used = ranked.withColumn("_used", F.coalesce(F.sum(F.char_length(text)).over(order), F.lit(0))).filter(F.col("_used") < budget)
-    return used.withColumn(text, F.substring(text, F.lit(1), F.lit(budget) - F.col("_used").cast("int"))).drop("_rank", "_used")
+    own = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_rank", label)
+    body = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    rows = sources.withColumn(text, body).filter(F.col(text) != "").withColumn("_rank", F.coalesce(F.try_element_at(known, F.col(kind)), F.lit(len(ranks))))
+    title = F.coalesce(F.nullif(F.trim(label), F.lit("")), F.col(kind))
+    header = F.char_length(F.concat(F.lit("=== source: "), title, F.lit(" ("), F.col(kind), F.lit(") ===")))
+    rows = rows.withColumn("_extra", header + 1 + F.when(F.row_number().over(own) > 1, 2).otherwise(0))
+    if budget <= 0:
+        return rows.drop("_rank", "_extra")
+    used = F.coalesce(F.sum(F.col("_extra") + F.char_length(text)).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_left", F.lit(budget) - used - F.col("_extra"))
+    fits = F.min("_left").over(own.rowsBetween(Window.unboundedPreceding, 0)) > 0
+    return rows.withColumn("_fits", fits).filter("_fits").withColumn(text, F.substring(text, F.lit(1), F.col("_left").cast("int"))).drop("_rank", "_extra", "_left", "_fits")
 
 
 def estimate(blocks: DataFrame, memory_hits: DataFrame, key: str, by: str, text: str) -> DataFrame:
@@ -139,23 +180,37 @@ def resolve_profile(requests: DataFrame, columns: list[str]) -> DataFrame:
     return requests.withColumn("profile", F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns]))
 
 
+def usable(docs: DataFrame, regex: str) -> bool:
+    """Whether a rule's pattern compiles; one that doesn't, or is empty, decides nothing."""
+    try:
+        docs.sparkSession._jvm.java.util.regex.Pattern.compile(regex)
+    except Exception:  # noqa: BLE001  the JVM's syntax error
+        return False
+    return regex.strip() != ""
+
+
 def pattern_findings(docs: DataFrame, patterns: list[tuple[str, str, str]], key: str, text: str) -> DataFrame:
-    """(key, rule, severity, matches) of prohibited patterns (rule, regex, severity), a rule book's short list."""
-    hits = F.array(
-        *[
-            F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.regexp_count(F.col(text), F.lit(regex)).cast("long").alias("matches"))
-            for rule, regex, severity in patterns
-        ]
-    )
-    return docs.select(key, F.explode(hits).alias("h")).select(key, "h.*").filter("matches > 0")
+    """(key, rule, severity, matches) of prohibited patterns (rule, regex, severity), a rule book's short list.
+
+    Patterns that don't compile and matches of no characters are ignored; a rule without severity is major.
+    """
+    def matches(regex: str) -> Column:
+        return F.size(F.filter(F.regexp_extract_all(F.col(text), F.lit(regex), F.lit(0)), lambda m: m != "")).cast("long")
+
+    hits = [
+        F.struct(F.lit(rule).alias("rule"), F.lit(severity or "major").alias("severity"), matches(regex).alias("matches"))
+        for rule, regex, severity in patterns
+        if usable(docs, regex)
+    ]
+    if not hits:
+        return docs.select(key, F.lit("").alias("rule"), F.lit("").alias("severity"), F.lit(0).cast("long").alias("matches")).limit(0)
+    return docs.select(key, F.explode(F.array(*hits)).alias("h")).select(key, "h.*").filter("matches > 0")
 
 
 def unmet_patterns(docs: DataFrame, patterns: list[tuple[str, str]], key: str, text: str) -> DataFrame:
-    """(key, rule) of required patterns that a document lacks."""
-    missing = F.filter(
-        F.array(*[F.when(~F.col(text).rlike(regex), F.lit(rule)) for rule, regex in patterns]), lambda r: r.isNotNull()
-    )
-    return docs.select(key, F.explode(missing).alias("rule"))
+    """(key, rule) of required patterns that a document lacks; patterns that don't compile are ignored."""
+    missing = [F.when(~F.col(text).rlike(regex), F.lit(rule)) for rule, regex in patterns if usable(docs, regex)]
+    return docs.select(key, F.explode(F.array_compact(F.array(*missing, F.lit(None).cast("string")))).alias("rule"))
 
 
 def similarity_findings(vectors: DataFrame, references: list[list[float]], key: str, vector: str, least: float) -> DataFrame:

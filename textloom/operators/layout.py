@@ -21,10 +21,24 @@ def assign_regions(lines: DataFrame, regions: DataFrame, page: str = "page") ->
     return a.select(page, "line_id").join(held, [page, "line_id"], "left")
 
 
-def reading_order(regions: DataFrame, page: str = "page", row_height: float = 20.0) -> DataFrame:
-    """Numbers regions by rows of `row_height`, left to right, top to bottom."""
-    order = Window.partitionBy(page).orderBy(F.floor(F.col("y") / row_height), "x", "y", "region_id")
-    return regions.withColumn("ordinal", F.row_number().over(order))
+def reading_order(regions: DataFrame, page: str = "page") -> DataFrame:
+    """Numbers the regions of each page from 0: by columns from left to right, within a column from top to bottom.
+
+    From left to right a region starts a column where its left edge is over half the (upper) median width, at least 1, from
+    that of the column's first region. A page has few regions: their edges are walked through in one array.
+    """
+    widths, edges = F.sort_array(F.collect_list(F.col("w").cast("double"))), F.sort_array(F.collect_set(F.col("x").cast("double")))
+    pages = regions.groupBy(page).agg(widths.alias("_w"), edges.alias("_x"))
+    pages = pages.select(page, "_x", F.greatest(F.get("_w", F.floor(F.size("_w") / 2).cast("int")) * 0.5, F.lit(1.0)).alias("_tol"))
+    # The left edges that start columns, the last one first.
+    walk = F.aggregate(
+        "_x", F.array().cast("array<double>"),
+        lambda held, x: F.when((F.size(held) == 0) | (x - F.get(held, F.lit(0)) > F.col("_tol")), F.concat(F.array(x), held)).otherwise(held),
+    )
+    placed = regions.join(pages.select(page, walk.alias("_starts")), page)
+    column = F.size(F.filter("_starts", lambda s: s <= F.col("x")))
+    order = Window.partitionBy(page).orderBy("_column", "y", "x", "region_id")
+    return placed.withColumn("_column", column).withColumn("ordinal", F.row_number().over(order) - 1).drop("_starts", "_column")
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import edit_ratio
-
 #: Match types by priority.
 EXACT_TIERS = ("generalized", "structural", "plain")
 NEAR_EXACT = 0.99
+#: Probes that a query and an entry share at least, where the query has so many to spare.
+SHARED = 1
 
 
 def exact_matches(queries: DataFrame, entries: DataFrame, tiers: tuple[str, ...] = EXACT_TIERS) -> DataFrame:
@@ -65,40 +65,46 @@ def point_distance(a: Column, b: Column) -> Column:
 
 
 def grams(text: Column, size: int) -> Column:
-    """n-grams of a text, each numbered among its equals, so that a bag becomes a set."""
+    """Distinct hashes of a text's runs of `size` characters."""
     n = F.char_length(text) - size + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, size))).otherwise(
-        F.array().cast("array<string>")
-    )
+    found = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.substring(text, i, size)))
+    return F.when(n > 0, F.array_distinct(found)).otherwise(F.array().cast("array<bigint>"))
 
 
 def fuzzy_matches(queries: DataFrame, entries: DataFrame, least: float = 0.7, size: int | None = None, key: str = "plain_key") -> DataFrame:
     """(query_id, entry_id, target, score) of all pairs whose edit ratio is at least `least`.
 
     A text of n characters with at most d = floor((1 - least) * longer length) edits keeps all but size * d of its
-    n - size + 1 grams. So of any size * d + 1 grams of a query one stands in every match: the rarest so many
-    are its probes (prefix filtering), joined to the entries' grams; length windows cut what can't match,
-    and the ratio decides. Queries too short for that many grams are joined by length instead.
+    distinct grams. So of any size * d + k grams of a query at least k stand in every match: the rarest so many are its
+    probes, joined to the entries' grams, and what shares fewer than k of them goes (prefix filtering; k is SHARED, or
+    what the query has). Only ids and lengths travel with the grams; texts are fetched once for each pair left, and a
+    bounded edit distance decides. Queries too short for that many grams are joined by length instead.
     Gram frequencies come from the entries, counted in one aggregation. size: 3 where the score leaves enough
     grams whole, else 2.
     """
     size = size or (3 if least >= 0.8 else 2)
-    q = queries.select("query_id", F.col(key).alias("q"), F.char_length(key).alias("n"))
-    e = entries.select("entry_id", F.col(key).alias("e"), "target", F.char_length(key).alias("m"))
+    # Entries with one hash of their ids share a row number; each of their texts is compared, so none is lost.
+    q = queries.select("query_id", F.xxhash64("query_id").alias("x"), F.col(key).alias("q"), F.char_length(key).alias("n"))
+    e = entries.select("entry_id", F.xxhash64("entry_id").alias("y"), F.col(key).alias("e"), "target", F.char_length(key).alias("m"))
     longest = F.floor(F.col("n") / least + 1e-9)
-    q = q.withColumn("edits", F.floor((1 - least) * longest + 1e-9).cast("int")).withColumn("need", F.col("edits") * size + 1)
-    q = q.withColumn("g", F.array_distinct(grams(F.col("q"), size)))
-    index = e.select("entry_id", "e", "target", "m", F.explode(F.array_distinct(grams(F.col("e"), size))).alias("gram"))
+    q = q.withColumn("lost", F.floor((1 - least) * longest + 1e-9).cast("int") * size).withColumn("g", grams(F.col("q"), size))
+    shared = F.least(F.size("g") - F.col("lost"), F.lit(SHARED))
+    index = e.select("y", "m", F.explode(grams(F.col("e"), size)).alias("gram"))
     counts = index.groupBy("gram").count()
-    probes = q.filter(F.size("g") >= F.col("need")).select("query_id", "q", "n", "need", F.explode("g").alias("gram"))
-    rare = Window.partitionBy("query_id").orderBy(F.coalesce("count", F.lit(0)), "gram")
-    probes = probes.join(counts, "gram", "left").withColumn("r", F.row_number().over(rare)).filter("r <= need and count is not null")
-    in_window = (F.col("m") >= F.floor(F.col("n") * least + 1e-9)) & (F.col("m") <= F.ceil(F.col("n") / least - 1e-9))
-    by_gram = probes.join(index, "gram").filter(in_window).select("query_id", "q", "entry_id", "e", "target")
-    few = q.filter(F.size("g") < F.col("need")).withColumn("m", F.explode(F.sequence(F.floor(F.col("n") * least + 1e-9), F.ceil(F.col("n") / least - 1e-9))))
-    by_length = few.join(e, "m").select("query_id", "q", "entry_id", "e", "target")
-    pairs = by_gram.unionByName(by_length).dropDuplicates(["query_id", "entry_id"])
-    return pairs.withColumn("score", edit_ratio(F.col("q"), F.col("e"))).filter(F.col("score") >= least).select("query_id", "entry_id", "target", "score")
+    probes = q.filter(shared > 0).select("x", "n", shared.alias("shared"), "lost", F.explode("g").alias("gram")).distinct()
+    rare = Window.partitionBy("x", "n", "shared", "lost").orderBy(F.coalesce("count", F.lit(0)), "gram")
+    probes = probes.join(counts, "gram", "left").withColumn("r", F.row_number().over(rare)).filter("r <= lost + shared and count is not null")
+    low, high = F.floor(F.col("n") * least + 1e-9), F.ceil(F.col("n") / least - 1e-9)
+    met = probes.join(index, "gram").filter((F.col("m") >= low) & (F.col("m") <= high)).groupBy("x", "n", "y", "shared").count()
+    by_gram = met.filter("count >= shared").select("x", "y").distinct()
+    few = q.filter(shared <= 0).select("x", F.explode(F.sequence(low, high)).alias("m")).join(e.select("y", "m"), "m").select("x", "y")
+    pairs = by_gram.union(few).distinct()
+    both = pairs.join(q.select("x", "query_id", "q"), "x").join(e.select("y", "entry_id", "e", "target"), "y")
+    both = both.withColumn("longer", F.greatest(F.char_length("q"), F.char_length("e")))
+    most = F.floor(F.col("longer") * F.lit(1 - least) + F.lit(1e-9)).cast("int")
+    both = both.withColumn("edits", F.call_function("levenshtein", F.col("q"), F.col("e"), most)).filter("edits >= 0")
+    score = F.when(F.col("longer") == 0, F.lit(1.0)).otherwise(1 - F.col("edits") / F.col("longer"))
+    return both.withColumn("score", score).filter(F.col("score") >= least).select("query_id", "entry_id", "target", "score").distinct()
 
 
 def best_matches(matches: DataFrame, most: int = 1) -> DataFrame:

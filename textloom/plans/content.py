@@ -178,9 +178,14 @@ def timecodes(spark: SparkSession, d: str) -> DataFrame:
 LOWER_TRIM = r"regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')"
 LINES = "(SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS seq FROM documents)"
 LINT = r"""
-SELECT doc_id, 'double_space' AS category, 'minor' AS severity FROM documents WHERE regexp_matches(text, '[^\s]  +[^\s]')
-UNION ALL SELECT doc_id, 'edge_space', 'minor' FROM documents WHERE regexp_matches(text, '^\s|\s$')
-UNION ALL SELECT doc_id, 'control_char', 'major' FROM documents WHERE regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]')
+SELECT doc_id, unnest(list_filter([
+  CASE WHEN NOT filled THEN 'empty' END, CASE WHEN filled AND regexp_matches(t, '\A\s') THEN 'leading-whitespace' END,
+  CASE WHEN filled AND regexp_matches(regexp_replace(t, '\r?\n\z', ''), '\s\z') THEN 'trailing-whitespace' END,
+  CASE WHEN filled AND contains(t, '  ') THEN 'double-spaces' END,
+  CASE WHEN filled AND len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1] AND w[i] <> '')) > 0 THEN 'doubled-word' END,
+  CASE WHEN filled AND regexp_matches(t, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]') THEN 'control-char' END
+  ], lambda x: x IS NOT NULL)) AS category, CASE category WHEN 'empty' THEN 'major' ELSE 'minor' END AS severity
+FROM (SELECT doc_id, coalesce(text, '') AS t, regexp_matches(t, '\S') AS filled, regexp_split_to_array(lower(t), '[ \n\t]+') AS w FROM documents)
 """
 LIMITS = r"""
 SELECT doc_id, 'too_many_chars' AS category, 'major' AS severity FROM documents WHERE length(text) > 5000

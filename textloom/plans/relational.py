@@ -118,7 +118,8 @@ def shipping_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def customers_without_orders(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an order of high value."""
+    orders = table(spark, d, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, d, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey", "c_mktsegment")
 
 
@@ -151,9 +152,13 @@ def unit_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def funnel(spark: SparkSession, d: str) -> DataFrame:
+    """User days that reach each step, of those with a view; purchases of all user days."""
+    user_day = F.concat_ws("/", "user_id", F.to_date("ts"))
     steps = ["view", "click", "signup", "purchase"]
-    counts = table(spark, d, "events").agg(*[F.countDistinct(F.when(F.col("event_type") == s, F.concat_ws("/", "user_id", F.to_date("ts")))).alias(s) for s in steps])
-    return govern.funnel(counts, steps)
+    counts = table(spark, d, "events").agg(
+        *[F.countDistinct(F.when(F.col("event_type") == s, user_day)).alias(s) for s in steps], F.countDistinct(user_day).alias("everything")
+    )
+    return govern.funnel(counts, [("view", "views"), ("click", "views"), ("signup", "views"), ("purchase", "all")], {"views": "view", "all": "everything"})
 
 
 def drift(spark: SparkSession, d: str) -> DataFrame:
@@ -164,10 +169,15 @@ def drift(spark: SparkSession, d: str) -> DataFrame:
 def blast_radius(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
 
-    def found(rules: dict[str, str]) -> DataFrame:
-        return docs.select("doc_id", F.explode(F.filter(F.array(*[F.when(F.contains(F.lower("text"), F.lit(w)), F.lit(c)) for c, w in rules.items()]), lambda c: c.isNotNull())).alias("category"))
+    def found(rules: dict[str, tuple[str, str, str]]) -> DataFrame:
+        hits = [
+            F.when(F.contains(F.lower("text"), F.lit(w)), F.struct(F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(r).alias("replacement")))
+            for c, (w, s, r) in rules.items()
+        ]
+        return docs.select("doc_id", F.explode(F.array_compact(F.array(*hits))).alias("f")).select("doc_id", "f.*")
 
-    before, after = found({"a": "the of", "b": "##"}), found({"b": "!!", "c": "worthless", "a": "the of"})
+    before = found({"a": ("the of", "minor", ""), "b": ("##", "minor", "")})
+    after = found({"b": ("!!", "major", "!"), "c": ("worthless", "critical", ""), "a": ("the of", "minor", "")})
     return govern.blast_radius(docs, before, after, "doc_id", "lang")
 
 
@@ -345,7 +355,7 @@ SELECT n_name, o_orderpriority, CAST(sum(CAST(l_extendedprice * (1 - l_discount)
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY 1, 2""",
     ),
-    "customers_without_orders": (customers_without_orders, "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "customers_without_orders": (customers_without_orders, "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)"),
     "union_keys": (union_keys, "SELECT c_nationkey AS key FROM customer UNION SELECT s_nationkey FROM supplier"),
     "except_keys": (except_keys, "SELECT p_partkey AS key FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 40"),
     "common_keys": (common_keys, "SELECT l_suppkey AS key FROM lineitem WHERE l_quantity > 45 INTERSECT SELECT s_suppkey FROM supplier WHERE s_acctbal > 0"),
@@ -363,24 +373,30 @@ FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ROLLUP (lang, source)"""
         funnel,
         """
 WITH c AS (SELECT event_type, count(DISTINCT user_id || '/' || CAST(ts AS DATE)) AS n FROM events GROUP BY 1),
-s AS (SELECT o.ordinal, o.step, n FROM (VALUES (1, 'view'), (2, 'click'), (3, 'signup'), (4, 'purchase')) o(ordinal, step) JOIN c ON c.event_type = o.step)
-SELECT ordinal, step, n, (n * 200 // first_value(n) OVER w + 1) // 2 AS percent, coalesce(lag(n) OVER w - n, 0) AS lost FROM s WINDOW w AS (ORDER BY ordinal)""",
+a AS (SELECT count(DISTINCT user_id || '/' || CAST(ts AS DATE)) AS n FROM events),
+s AS (SELECT o.ordinal, o.step, c.n, CASE WHEN step = 'purchase' THEN a.n ELSE v.n END AS total
+      FROM (VALUES (1, 'view'), (2, 'click'), (3, 'signup'), (4, 'purchase')) o(ordinal, step) JOIN c ON c.event_type = o.step, a, (SELECT n FROM c WHERE event_type = 'view') v)
+SELECT ordinal, step, n, (n * 200 // total + 1) // 2 AS percent,
+       CASE WHEN step IN ('click', 'signup') THEN greatest(lag(n) OVER (ORDER BY ordinal) - n, 0) ELSE 0 END AS lost FROM s""",
     ),
     "drift": (
         drift,
         f"""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day DESC) <= 7 AS recent FROM {DAYS}),
-m AS (SELECT event_type, round(sum(score * n) FILTER (recent) / sum(n) FILTER (recent), 1) AS recent,
-      round(sum(score * n) FILTER (NOT recent) / sum(n) FILTER (NOT recent), 1) AS baseline FROM r GROUP BY 1)
-SELECT event_type, recent, baseline, round(baseline - recent, 1) AS drop, round(baseline - recent, 1) >= 0.5 AS drifted FROM m""",
+m AS (SELECT event_type, sum(score * n) FILTER (recent) / sum(n) FILTER (recent) AS r, sum(n) FILTER (recent) AS recent_count,
+      sum(score * n) FILTER (NOT recent) / sum(n) FILTER (NOT recent) AS b0 FROM r GROUP BY 1),
+z AS (SELECT *, coalesce(b0, r) AS b FROM m)
+SELECT event_type, round(r, 1) AS recent, round(b, 1) AS baseline, round(b - r, 1) AS drop, CAST(recent_count AS BIGINT) AS recent_count, round(b - r, 1) >= 0.5 AS drifted FROM z""",
     ),
     "blast_radius": (
         blast_radius,
         """
-WITH x AS (SELECT doc_id, lang, contains(text, '##') AS b0, contains(text, '!!') AS b1, contains(lower(text), 'worthless') AS c1 FROM documents),
-y AS (SELECT lang, CAST(b1 AND NOT b0 AS INT) + CAST(c1 AS INT) AS new, CAST(b0 AND NOT b1 AS INT) AS gone FROM x)
-SELECT lang, count(*) AS blocks, count(*) FILTER (new > 0 OR gone > 0) AS affected, count(*) FILTER (gone > new) AS improved,
-       count(*) FILTER (new > gone) AS degraded, CAST(sum(new) AS BIGINT) AS new_violations, CAST(sum(gone) AS BIGINT) AS resolved_violations
+WITH x AS (SELECT lang, contains(text, '##') AS b0, contains(text, '!!') AS b1, contains(lower(text), 'worthless') AS c1 FROM documents),
+y AS (SELECT lang, CAST(b1 AND NOT b0 AS INT) + CAST(c1 AS INT) AS new, CAST(b0 AND NOT b1 AS INT) AS gone, CAST(c1 AS INT) AS critical, b1 AND NOT b0 AS fix,
+             CAST(b0 AS INT) - 5 * CAST(b1 AS INT) - 25 * CAST(c1 AS INT) AS delta FROM x)
+SELECT lang, count(*) AS blocks, count(*) FILTER (new > 0 OR gone > 0) AS affected, count(*) FILTER (fix) AS prescribed, count(*) FILTER (delta > 0) AS improved,
+       count(*) FILTER (delta < 0) AS degraded, CAST(sum(new) AS BIGINT) AS new_violations, CAST(sum(gone) AS BIGINT) AS resolved_violations,
+       CAST(sum(critical) AS BIGINT) AS critical, coalesce(avg(delta) FILTER (new > 0 OR gone > 0), 0.0) AS mean_delta
 FROM y GROUP BY lang""",
     ),
     "percentile_summary": (

@@ -75,26 +75,42 @@ def content_identity(df: DataFrame) -> DataFrame:
     return df.withColumn("content_hash", identity.content_hash(F.col("source_text")))
 
 
-@register("source-gate", needs={"source_status"}, gives={"held"})
+@register("source-gate", needs={"source_text", "source_status", "translatable"}, gives={"held"})
 def source_gate(df: DataFrame, required: str = "checked") -> DataFrame:
-    """Holds blocks whose status is below the required one; an empty status is 'authored', an unknown one below all."""
-    ladder = ["authored", "checked", "approved"]
+    """Settles the status of translatable blocks and holds those below the required one; 'none' does neither.
+
+    A block with a major finding (an empty text) is 'authored'; any other is 'checked', or stays 'approved'. An unknown
+    `required` is 'checked'.
+    """
     if required == "none":
         return df.withColumn("held", F.lit(False))
-    status = F.coalesce(F.nullif("source_status", F.lit("")), F.lit("authored"))
-    rank = F.array_position(F.array(*[F.lit(s) for s in ladder]), status) - 1
-    return df.withColumn("held", rank < ladder.index(required))
+    ladder = ["authored", "checked", "approved"]
+    wanted = ladder.index(required if required in ladder else "checked")
+    empty = text.trim_space(F.coalesce("source_text", F.lit(""))) == ""
+    settled = F.when(empty, "authored").when(F.col("source_status") == "approved", "approved").otherwise("checked")
+    out = df.withColumn("source_status", F.when(F.col("translatable"), settled).otherwise(F.col("source_status")))
+    rank = F.array_position(F.array(*[F.lit(s) for s in ladder]), F.col("source_status")) - 1
+    return out.withColumn("held", F.coalesce(F.col("translatable") & (rank < wanted), F.lit(False)))
 
 
 @register("apply-edits", needs={"block_id", "source_text"}, gives={"edit_state"})
 def apply_edits(df: DataFrame, edits: DataFrame) -> DataFrame:
-    """Edits (block_id, expected_hash, new_text): applied, skipped where nothing changes, stale where the hash differs."""
-    joined = df.join(edits, "block_id", "left")
+    """Edits (block_id, expected_hash, new_text) of plain texts, found by id, else by the hash of the block's text.
+
+    skipped where nothing changes, else stale where the hash differs, else applied; none where there is no edit or the
+    block isn't translatable. Of several edits for an id or hash the first text in order counts.
+    """
+    by_id = edits.filter("block_id is not null").groupBy("block_id").agg(F.min(F.struct("new_text", "expected_hash")).alias("_by_id"))
+    by_hash = edits.filter("coalesce(expected_hash, '') <> ''").groupBy(F.col("expected_hash").alias("_hash")).agg(F.min(F.struct("new_text", F.col("expected_hash"))).alias("_by_hash"))
+    held = df.withColumn("_hash", identity.content_hash(F.col("source_text"))).join(by_id, "block_id", "left").join(by_hash, "_hash", "left")
+    edit = F.coalesce("_by_id", "_by_hash")
+    open_ = F.col("translatable") if "translatable" in df.columns else F.lit(True)
     state = (
-        F.when(F.col("new_text").isNull(), "none")
-        .when(F.col("expected_hash") != identity.content_hash(F.col("source_text")), "stale")
-        .when(F.col("new_text") == F.col("source_text"), "skipped")
+        F.when(F.col("_edit").isNull() | ~open_, "none")
+        .when(F.col("_edit.new_text") == F.col("source_text"), "skipped")
+        .when((F.coalesce(F.col("_edit.expected_hash"), F.lit("")) != "") & (F.col("_edit.expected_hash") != F.col("_hash")), "stale")
         .otherwise("applied")
     )
-    out = joined.withColumn("edit_state", state)
-    return out.withColumn("source_text", F.when(F.col("edit_state") == "applied", F.col("new_text")).otherwise(F.col("source_text"))).drop("expected_hash", "new_text")
+    out = held.withColumn("_edit", edit).withColumn("edit_state", state)
+    changed = F.when(F.col("edit_state") == "applied", F.col("_edit.new_text")).otherwise(F.col("source_text"))
+    return out.withColumn("source_text", changed).select(*df.columns, "edit_state")

@@ -26,9 +26,12 @@ def session(name: str = "textloom", **more: str) -> SparkSession:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage at files in the shared folder `spark.checkpoint.dir`, which survive lost executors.
 
-    A folder of this machine is only taken where the session names none, as in local tests.
+    A folder of this machine is only taken where a local session names none, as in tests; on a cluster that is an error.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="textloom-"))
     return df.checkpoint()

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Header names of key columns.
-KEY_HEADERS = ("id", "key", "name", "identifier", "string_id", "stringid", "resource_id", "msgid", "token")
+#: What the header of a key column is, or ends in after a separator.
+KEY_HEADERS = ("id", "key", "identifier", "slug", "uid", "uuid", "msgid", "code", "ref")
+
+
+def is_key_header(name: str) -> bool:
+    return re.search(rf"(?:^|[_\-. ])(?:{'|'.join(KEY_HEADERS)})$", name.strip().lower()) is not None
 
 
 def key_column(df: DataFrame) -> str | None:
-    """The column that names rows: by its header, else the first string column whose values are all there and distinct."""
-    for name in df.columns:
-        if name.strip().lower() in KEY_HEADERS:
-            return name
-    strings = [n for n, t in df.dtypes if t == "string"]
-    if not strings:
+    """The leftmost column whose header says that it is a key and whose values are all there and distinct; else none."""
+    named = [n for n in df.columns if is_key_header(n)]
+    if not named:
         return None
-    total, *counts = df.agg(F.count(F.lit(1)), *[F.countDistinct(n) for n in strings]).first()
-    return next((n for n, c in zip(strings, counts, strict=True) if total and c == total), None)
+    held = [F.nullif(F.trim(F.col(f"`{n}`").cast("string")), F.lit("")) for n in named]
+    total, *counts = df.agg(F.count(F.lit(1)), *[F.countDistinct(c) for c in held]).first()
+    return next((n for n, c in zip(named, counts, strict=True) if total and c == total), None)
 
 
 def read_csv(spark: SparkSession, path: str, separator: str = ",", columns: list[str] | None = None, key: str | None = None) -> DataFrame:

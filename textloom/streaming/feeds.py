@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zoneinfo
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -38,8 +39,12 @@ def conditions_hold(data: Column, conditions: list[tuple[str, str, str]]) -> Col
 
 
 def quiet(at: Column, zone: Column, start: Column, end: Column) -> Column:
-    """Whether the local time HH:MM lies in [start, end), which may wrap midnight; false where unset."""
-    now = F.date_format(F.from_utc_timestamp(at, zone), "HH:mm")
+    """Whether the local time HH:MM lies in [start, end), which may wrap midnight; false where unset or the zone is unknown.
+
+    An empty zone is UTC.
+    """
+    known = F.when(zone == "", F.lit("UTC")).when(zone.isin(sorted(zoneinfo.available_timezones())), zone)
+    now = F.date_format(F.from_utc_timestamp(at, known), "HH:mm")
     inside = F.when(start <= end, (now >= start) & (now < end)).otherwise((now >= start) | (now < end))
     return F.coalesce(F.when((start != "") & (end != ""), inside), F.lit(False))
 
