@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .checks import weight
 
+#: The dimensions of a compliance score.
+DIMENSIONS = ("tone", "style", "vocabulary", "clarity", "compliance")
+
 
 def gate_rollup(pairs: DataFrame, verdicts: DataFrame, keys: list[str], by: list[str], least: float) -> DataFrame:
     """Per group: pairs, those with a verdict on the current basis, those that pass, those held.
@@ -213,6 +216,28 @@ def unmet_patterns(docs: DataFrame, patterns: list[tuple[str, str]], key: str, t
     return docs.select(key, F.explode(F.array_compact(F.array(*missing, F.lit(None).cast("string")))).alias("rule"))
 
 
+def compliance_scores(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key and dimension: score, penalty and issues, and the key's overall score.
+
+    found: keys, category, severity. Each score is 100 less the penalties, at least 0, whatever the length; dimensions
+    without findings score 100, and findings of other categories count in none.
+    """
+    sums = found.filter(F.col("category").isin(*DIMENSIONS)).groupBy(*keys, "category").agg(
+        F.sum(weight(F.col("severity"))).alias("penalty"), F.count(F.lit(1)).alias("issues")
+    )
+    held = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("category", F.struct("penalty", "issues")))).alias("m"), F.sum("penalty").alias("total"))
+    every = found.select(*keys).distinct().join(held, keys, "left").withColumn("dimension", F.explode(F.array(*[F.lit(d) for d in DIMENSIONS])))
+    of = F.try_element_at("m", F.col("dimension"))
+    penalty = F.coalesce(of["penalty"], F.lit(0)).cast("long")
+
+    def score(lost: Column) -> Column:
+        return F.greatest(F.lit(100) - F.coalesce(lost, F.lit(0)), F.lit(0)).cast("long")
+
+    return every.select(
+        *keys, "dimension", score(penalty).alias("score"), penalty.alias("penalty"), F.coalesce(of["issues"], F.lit(0)).cast("long").alias("issues"), score(F.col("total")).alias("overall")
+    )
+
+
 def similarity_findings(vectors: DataFrame, references: list[list[float]], key: str, vector: str, least: float) -> DataFrame:
     """(key, similarity) of vectors whose best dot product with the reference examples (a short list) is below `least`."""
 

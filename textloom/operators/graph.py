@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .terms import term_hits
+from .terms import is_valid, term_hits
 
 #: Labels and their inverses.
 INVERSE = {"broader": "narrower", "narrower": "broader", "part_of": "has_part", "has_part": "part_of"}
@@ -27,6 +27,30 @@ def neighbours(edges: DataFrame, nodes: DataFrame, direction: str = "both", labe
     return chosen.join(nodes.select("node").distinct(), "node", "left_semi").distinct()
 
 
+def _having(rows: DataFrame, label: str | None, properties: dict[str, str] | None) -> DataFrame:
+    if label:
+        rows = rows.filter(F.col("label") == label)
+    for name, value in (properties or {}).items():
+        rows = rows.filter(F.coalesce(F.try_element_at("properties", F.lit(name)) == value, F.lit(False)))
+    return rows
+
+
+def find_nodes(
+    nodes: DataFrame, label: str | None = None, properties: dict[str, str] | None = None, at: Column | None = None, scope: dict[str, str] | None = None
+) -> DataFrame:
+    """Nodes with the label (none: any) and all the properties; with `at`, those valid then and in the scope.
+
+    Validity is read from the columns valid_from, valid_to and tags.
+    """
+    found = _having(nodes, label, properties)
+    return found if at is None else found.filter(is_valid(at, F.col("valid_from"), F.col("valid_to"), F.col("tags"), scope or {}))
+
+
+def find_edges(edges: DataFrame, label: str | None = None, properties: dict[str, str] | None = None) -> DataFrame:
+    """Edges with the label (none: any) and all the properties."""
+    return _having(edges, label, properties)
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], at: str = "updated_at", created: str = "created_at") -> DataFrame:
     """The latest row of each key with the earliest creation time."""
     both = old.unionByName(new)

@@ -59,3 +59,14 @@ def unit_rollup(hits: DataFrame, levels: list[str], measures: dict[str, Column])
     """Measures at the root and each level of a hierarchy; depth is the number of levels given."""
     depth = sum((1 - F.grouping(c) for c in levels), F.lit(0))
     return hits.rollup(*levels).agg(depth.cast("int").alias("depth"), *[c.alias(n) for n, c in measures.items()])
+
+
+def filtered_facets(df: DataFrame, condition: Column, columns: list[str], count: str | None = None) -> DataFrame:
+    """(facet, value, n) of several columns over the rows that the condition holds for, in one pass.
+
+    n counts rows, or distinct values of `count`. Null values are left out.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns])
+    rows = df.filter(condition).select(*([count] if count else []), F.explode(pairs).alias("f")).filter("f.value is not null")
+    n = F.countDistinct(count) if count else F.count(F.lit(1))
+    return rows.groupBy("f.facet", "f.value").agg(n.alias("n"))

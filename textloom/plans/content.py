@@ -94,7 +94,7 @@ def slugs(spark: SparkSession, d: str) -> DataFrame:
 
 def snippets(spark: SparkSession, d: str) -> DataFrame:
     at = F.instr(F.lower("text"), "the ").cast("int")
-    docs = table(spark, d, "documents").filter(F.octet_length("text") == F.char_length("text")).withColumn("at", at).filter("at > 0")
+    docs = table(spark, d, "documents").withColumn("at", at).filter("at > 0")
     return docs.select("doc_id", F.col("at").cast("long").alias("place"), text.snippet(F.col("text"), F.col("at") - 1, F.col("at") + 2).alias("snippet"))
 
 
@@ -273,7 +273,7 @@ SELECT p_partkey, '[' || translate(p_name || ' ', '{text.ACCENTS_FROM}', '{text.
     "snippets": (
         snippets,
         r"""
-WITH a AS (SELECT doc_id, text, instr(lower(text), 'the ') AS place FROM documents WHERE strlen(text) = length(text)),
+WITH a AS (SELECT doc_id, text, instr(lower(text), 'the ') AS place FROM documents),
 b AS (SELECT *, greatest(place - 1 - 48, 0) AS f, least(place + 2 + 48, length(text)) AS l FROM a WHERE place > 0)
 SELECT doc_id, place, CASE WHEN f > 0 THEN '…' ELSE '' END
   || regexp_replace(regexp_replace(substr(text, f + 1, l - f), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("content", "relational", "retrieval", "formats", "layout", "streams")
+MODULES = ("content", "lookups", "relational", "retrieval", "formats", "layout", "streams")
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
