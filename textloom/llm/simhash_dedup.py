@@ -18,8 +18,8 @@ BITS, SHINGLE, DISTANCE, SEED = 64, 3, 2, 42
 BUCKET = 2048
 #: Cost of a probe key, in compared pairs.
 KEY_COST = 8.0
-#: Bytes of text of a chunk: hashes are spread to 64 bytes each.
-CHUNK = 1 << 20
+#: Bytes of text of a chunk, and shingles of one whose hashes are spread to 64 bytes each at once.
+CHUNK, SHINGLES = 1 << 20, 1 << 17
 
 
 def fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -27,25 +27,26 @@ def fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa
     for batch, texts in chunks(batches, most=CHUNK):
         words = Words(texts, lower=True)
         total = np.diff(words.first)
-        # First and last words of all shingles; a shorter text is one shingle.
+        # Shingles of each text; a shorter text is one.
         heads = np.maximum(total - shingle + 1, (total > 0).astype(np.int64))
-        doc = np.repeat(np.arange(len(texts)), heads)
-        place = np.arange(len(doc)) - np.repeat(np.cumsum(heads) - heads, heads)
-        first = words.first[doc] + place
-        last = np.minimum(first + shingle, words.first[doc + 1]) - 1
+        head = np.cumsum(heads) - heads
         text = words.text
-        hashes = np.fromiter(
-            (digest(text[a:b], SEED) for a, b in zip(words.start[first].tolist(), words.end[last].tolist(), strict=True)),
-            dtype=np.uint64,
-            count=len(doc),
-        )
-        out = np.zeros(len(texts), dtype=np.uint64)
-        some = np.flatnonzero(heads)
-        if len(some):
+        ones = np.zeros((len(texts), BITS), dtype=np.int32)
+        for a in range(0, int(heads.sum()), SHINGLES):
+            at = np.arange(a, min(a + SHINGLES, int(heads.sum())))
+            doc = np.searchsorted(head + heads, at, side="right")
+            first = words.first[doc] + at - head[doc]
+            last = np.minimum(first + shingle, words.first[doc + 1]) - 1
+            hashes = np.fromiter(
+                (digest(text[x:y], SEED) for x, y in zip(words.start[first].tolist(), words.end[last].tolist(), strict=True)),
+                dtype=np.uint64,
+                count=len(at),
+            )
             bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, (np.cumsum(heads) - heads)[some], axis=0, dtype=np.int32)
-            major = np.packbits(2 * ones > heads[some, None], axis=1, bitorder="little")
-            out[some] = np.ascontiguousarray(major).view("<u8").ravel()
+            new = np.flatnonzero(np.diff(doc, prepend=-1))
+            ones[doc[new]] += np.add.reduceat(bits, new, axis=0, dtype=np.int32)
+        major = np.packbits(2 * ones > heads[:, None], axis=1, bitorder="little")
+        out = np.ascontiguousarray(major).view("<u8").ravel()
         yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "version": batch.column("version"), "fp": pa.array(out.view(np.int64), pa.int64())})
 
 
