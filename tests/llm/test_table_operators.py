@@ -338,3 +338,13 @@ def test_line_dedup_compares_lines_unlike_their_head(spark, others):
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     out = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs).collect()}
     assert [i for i, text in out.items() if text == ""] == [len(lines) - 1]
+
+
+def test_mixing_refuses_too_many_epochs_and_sources(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a" if i else "b") for i in range(2000)], "doc_id long, source string")
+    with pytest.raises(ValueError, match="more than 3 times.*'b'"):
+        mixing.mix_sources(docs, weights={"a": 1, "b": 1}, block=10, most_epochs=3)
+    assert mixing.mix_sources(docs, weights={"a": 1, "b": 1}, block=10, most_epochs=200).filter("source = 'b'").count() > 100
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 1)
+    with pytest.raises(ValueError, match="over 1 values"):
+        mixing.mix_sources(docs)

@@ -12,6 +12,8 @@ from .common import only_row, with_row
 
 #: Documents of a block, sum of the weights that are made from counts, and the exponent of the counts.
 BLOCK, PARTS, TEMPERATURE = 64, 1000, 0.7
+#: Sources of a mixture at most: what the driver and the broadcast tables hold a row for.
+MOST_SOURCES = 1 << 14
 #: Hex digits of the id's hash that number a source's documents in parts.
 DIGITS = 3
 
@@ -53,6 +55,7 @@ def mix_sources(
     weights: Mapping[str, int] | None = None,
     block: int = BLOCK,
     temperature: float = TEMPERATURE,
+    most_epochs: int | None = None,
 ) -> DataFrame:
     """Places in a mixture that follows the target weights: a row per document and epoch.
 
@@ -64,10 +67,13 @@ def mix_sources(
 
     weights: whole parts by source; without them count ** temperature in PARTS parts, from the counts of all
     rows. There is a weight for each source, so the counts that come to the driver and the schedule are as
-    small as the mixture's definition. With explicit weights a source that has none isn't part of the
+    small as the mixture's definition; over MOST_SOURCES sources are an error. With explicit weights a source that has none isn't part of the
     mixture. The numbers of documents within a source are made in 16 ** DIGITS parts: a source that holds a
     third of all rows isn't sorted in one task.
 
+    Small sources with large weights are used many times over. With `most_epochs`, needing more is an error that lists
+    them, before any document is dealt; no document is ever left out.
+
     A null source is a source like any other, named ''; explicit weights name it ''. Null ids are
     ordered before others. Rows that repeat an id are documents of their own, ordered by a hash of
     the row. An empty table gives an empty result.
@@ -77,7 +83,10 @@ def mix_sources(
     rows = rows.withColumn("order", F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))))
     rows = rows.withColumn("part", F.substring("order", 1, DIGITS))
     sizes = rows.groupBy("source", "part").count()
-    counts = {r["source"]: r["n"] for r in sizes.groupBy("source").agg(F.sum("count").alias("n")).collect()}
+    totals = sizes.groupBy("source").agg(F.sum("count").alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(totals) > MOST_SOURCES:
+        raise ValueError(f"{source_col} has over {MOST_SOURCES} values; a mixture needs a weight for each")
+    counts = {r["source"]: r["n"] for r in totals}
     if weights is None:
         weights = temperature_weights(counts, temperature)
     weights = {s: w for s, w in sorted(weights.items()) if w > 0 and s in counts}
@@ -87,6 +96,9 @@ def mix_sources(
     # As long as it takes to reach every source's last block, and so many blocks of each source.
     length = max(((blocks[s] - 1) // w * period + slot_of[s, (blocks[s] - 1) % w] + 1 for s, w in weights.items()), default=0)
     used = {s: length // period * w + sum(slot_of[s, k] < length % period for k in range(w)) for s, w in weights.items()}
+    often = {s: -(-used[s] // blocks[s]) for s in weights}
+    if most_epochs is not None and max(often.values(), default=0) > most_epochs:
+        raise ValueError(f"sources would be used more than {most_epochs} times: { {s: n for s, n in often.items() if n > most_epochs} }")
     slots = spark.createDataFrame(rows_of_period, "source string, k long, release long, deadline long, slot long")
     shares = spark.createDataFrame([(s, w, blocks[s], used[s]) for s, w in weights.items()], "source string, weight long, blocks long, used long")
 
