@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from . import (
     exact_dedup,
+    fill_middle,
     license_scan,
     line_dedup,
     lm_scoring,
     mixing,
     packing,
+    periodic_runs,
     quality,
     simhash_dedup,
     substring_dedup,
     topk_search,
+    url_filters,
 )
 
 
@@ -77,6 +80,42 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = url_filters.labelled_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return url_filters.url_filter(pages).withColumnRenamed("id", "page_id").withColumn("purity", F.round("purity", 6))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: the lengths of its parts, and digests of its output and of the text restored from that."""
+    rows = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "n",
+        "form",
+        F.length("prefix").cast("long").alias("prefix_chars"),
+        F.length("middle").cast("long").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: its strongest run, and digests of all runs and of the text without what they repeat."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = periodic_runs.periodic_runs(docs.withColumn("text", periodic_runs.repeated_tail(F.col("doc_id"), F.col("text"))))
+    line = "array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')"
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        "strongest.start",
+        "strongest.length",
+        "strongest.period",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.expr(line), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -89,6 +128,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
+        "op11_url_filters": op11_url_filters,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
@@ -100,4 +142,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_license_scan": license_scan.oracle(),
         "op7_source_mixing": mixing.oracle(),
         "op9_lm_scoring": lm_scoring.ORACLE,
+        "op11_url_filters": url_filters.oracle(),
+        "op12_fill_in_middle": fill_middle.ORACLE,
+        "op13_periodic_runs": periodic_runs.ORACLE,
     }
