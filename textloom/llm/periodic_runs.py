@@ -300,22 +300,23 @@ with docs as (
   select k, doc_id, h, g, ws, len(ws)::bigint as n, case when len(ws) > 0 then g % len(ws) end as a from spelled
 ), dealt as (
   select k, n, unnest(ws) as w, unnest(range(n)) as i, a, h, 1 + (n - a) // (3 + g % 8) as p from sized
-), words as (
+), words as materialized (
   select d.k, d.n, d.i, coalesce(o.w, d.w) as w
   from dealt d left join dealt o on o.k = d.k and d.h % 10 = 0 and d.i >= d.a and o.i = d.a + (d.i - d.a) % d.p
 ), periods as (
   select k, q from (select k, n, unnest(range(1, n // 4 + 1)) as q from sized)
-), anchors as (
+), anchors as materialized (
   select k, q, unnest(range(0, n // q - 2)) * q as i from periods join sized using (k)
-), tried as (
-  select distinct x.k, x.q from anchors x
-  join words a on a.k = x.k and a.i = x.i
-  join words b on b.k = x.k and b.i = x.i + x.q and b.w = a.w
-  join words c on c.k = x.k and c.i = x.i + 2 * x.q and c.w = a.w
-  join words d on d.k = x.k and d.i = x.i + 3 * x.q and d.w = a.w
+), twice as materialized (
+  select x.k, x.q, x.i, a.w from anchors x join words a on a.k = x.k and a.i = x.i join words b on b.k = x.k and b.i = x.i + x.q and b.w = a.w
+), thrice as materialized (
+  select x.k, x.q, x.i, x.w from twice x join words c on c.k = x.k and c.i = x.i + 2 * x.q and c.w = x.w
+), tried as materialized (
+  select distinct x.k, x.q from thrice x join words d on d.k = x.k and d.i = x.i + 3 * x.q and d.w = x.w
 ), equal as (
-  select t.k, t.q, a.i, a.i - row_number() over (partition by t.k, t.q order by a.i) as island
-  from tried t join words a on a.k = t.k join words b on b.k = t.k and b.i = a.i + t.q and b.w = a.w
+  select k, q, i, i - row_number() over (partition by k, q order by i) as island from (
+    select a.k, t.q, a.i from tried t join words a on a.k = t.k join words b on b.k = a.k and b.i = a.i + t.q and b.w = a.w
+  )
 ), stretches as (
   select k, q, min(i) as start, count(*) + q as length from equal group by k, q, island having count(*) + q >= greatest(6, 4 * q)
 ), runs as (

@@ -19,8 +19,11 @@ RULES = (
 )
 #: Levels of the tree; what lies deeper is one segment, a wildcard of its own.
 DEPTH = 6
-#: Pages (labelled, or all) that a branch needs to be a branch of its own, and standard errors by which it must differ.
-SUPPORT, APART = 30, 3.0
+#: Pages (labelled, or all) that a branch needs to be a branch of its own; by how many standard errors, and by what
+#: share at least, it must differ then.
+SUPPORT, APART, GAP = 30, 3.0, 0.1
+#: Classes of rates, of which the fullest is what a node's branches have in common.
+CLASSES = 20
 #: Weight of the host's purity in a template's, and of the whole table's in a host's, in labelled pages.
 WEIGHT = 10.0
 #: Least purity of a template that is let through.
@@ -82,20 +85,32 @@ def salted_left_join(rows: DataFrame, few: DataFrame, on: list[str], spread: Col
     return dealt.join(copies, [*on, "salt"], "left").drop("salt")
 
 
-def differs(hits: Column, total: Column, all_hits: Column, all_total: Column, support: int, apart: float) -> Column:
-    """Whether a branch's rate is further from that of the others together than chance explains (two-proportion test)."""
-    others, other_hits = all_total - total, all_hits - hits
-    rate = F.try_divide(all_hits, all_total)
-    error = rate * (1 - rate) * (F.try_divide(F.lit(1), total) + F.try_divide(F.lit(1), others))
-    gap = F.try_divide(hits, total) - F.try_divide(other_hits, others)
-    return F.coalesce((total >= support) & (others >= support) & (gap * gap > apart * apart * error), F.lit(False))
+def rate_class(hits: str, total: str) -> Column:
+    return F.least(F.floor(F.try_divide(F.col(hits) * CLASSES, F.col(total))), F.lit(CLASSES - 1))
 
 
-def own_branches(rows: DataFrame, level: int, support: int, apart: float) -> DataFrame:
+def common_rate(children: DataFrame, hits: str, total: str) -> DataFrame:
+    """What most pages of a node have: hits and total of the fullest class of its branches' rates (of equals the lowest)."""
+    classes = children.withColumn("class", rate_class(hits, total)).filter("class is not null").groupBy("host", "so_far", "class")
+    summed = classes.agg(F.sum(hits).alias("hits"), F.sum(total).alias("total"))
+    best = F.max_by(F.struct("hits", "total"), F.struct("total", -F.col("class")))
+    return summed.groupBy("host", "so_far").agg(best.alias(f"common_{hits}"))
+
+
+def differs(hits: str, total: str, support: int, apart: float, gap: float) -> Column:
+    """Whether a branch's rate is further from its node's common one than chance explains (two-proportion test), and by `gap`."""
+    h, t, common = F.col(hits), F.col(total), F.col(f"common_{hits}")
+    rate = F.try_divide(h + common["hits"], t + common["total"])
+    error = rate * (1 - rate) * (F.try_divide(F.lit(1), t) + F.try_divide(F.lit(1), common["total"]))
+    off = F.try_divide(h, t) - F.try_divide(common["hits"], common["total"])
+    return F.coalesce((t >= support) & (common["total"] >= support) & (off * off > F.greatest(apart * apart * error, F.lit(gap * gap))), F.lit(False))
+
+
+def own_branches(rows: DataFrame, level: int, support: int, apart: float, gap: float) -> DataFrame:
     """Segments of this level that stay as they are: (host, so_far, here).
 
-    They have support and differ from the other branches of their node in the share of bad pages among labelled
-    ones or in the share of paths that end there. All others are alike, or too small to tell, and merge into the wildcard.
+    They have support and differ from what the branches of their node have in common, in the share of bad pages among
+    labelled ones or in the share of paths that end there. All others are alike, or too small to tell, and merge into the wildcard.
     """
     sums = [
         F.count(F.lit(1)).alias("n"),
@@ -103,16 +118,15 @@ def own_branches(rows: DataFrame, level: int, support: int, apart: float) -> Dat
         F.count("bad").alias("labelled"),
         F.sum(F.coalesce(F.col("bad").cast("long"), F.lit(0))).alias("bads"),
     ]
-    children = rows.groupBy("host", "so_far", "here").agg(*sums)
-    names = ("n", "ends", "labelled", "bads")
-    parents = children.groupBy("host", "so_far").agg(*[F.sum(c).alias(f"all_{c}") for c in names]).filter(F.col("all_n") >= 2 * support)
-    tested = salted_left_join(children.filter(F.col("n") >= support), parents, ["host", "so_far"], F.col("here")).filter("all_n is not null")
-    apart_by_label = differs(*map(F.col, ("bads", "labelled", "all_bads", "all_labelled")), support, apart)
-    apart_by_shape = differs(*map(F.col, ("ends", "n", "all_ends", "all_n")), support, apart)
-    return tested.filter(apart_by_label | apart_by_shape).select("host", "so_far", "here")
+    children = stage(rows.groupBy("host", "so_far", "here").agg(*sums))
+    rates = (("bads", "labelled"), ("ends", "n"))
+    nodes = common_rate(children, *rates[0]).join(common_rate(children, *rates[1]), ["host", "so_far"], "full")
+    tested = salted_left_join(children.filter(F.col("n") >= support), nodes, ["host", "so_far"], F.col("here"))
+    apart_ = [differs(hits, total, support, apart, gap) for hits, total in rates]
+    return tested.filter(apart_[0] | apart_[1]).select("host", "so_far", "here")
 
 
-def with_templates(pages: DataFrame, depth: int = DEPTH, support: int = SUPPORT, apart: float = APART) -> DataFrame:
+def with_templates(pages: DataFrame, depth: int = DEPTH, support: int = SUPPORT, apart: float = APART, gap: float = GAP) -> DataFrame:
     """Adds `template` to rows of id, host, parts and bad (null: not labelled)."""
     deepest = pages.agg(F.max(F.size("parts")).alias("n")).first()["n"] or 0
     rows = pages.withColumn("so_far", F.lit(""))
@@ -121,7 +135,7 @@ def with_templates(pages: DataFrame, depth: int = DEPTH, support: int = SUPPORT,
         placeholder = (here == "") | (here == "**") | here.contains("{n}") | here.contains("{c}")
         rows = rows.withColumn("here", F.when(F.size("parts") > level, here))
         rows = rows.withColumn("fixed", F.when(F.size("parts") > level, placeholder).otherwise(False))
-        kept = stage(own_branches(rows.filter(F.col("here").isNotNull() & ~F.col("fixed")), level, support, apart).withColumn("own", F.lit(True)))
+        kept = stage(own_branches(rows.filter(F.col("here").isNotNull() & ~F.col("fixed")), level, support, apart, gap).withColumn("own", F.lit(True)))
         rows = salted_left_join(rows, kept, ["host", "so_far", "here"], F.col("id"))
         grown = F.concat("so_far", F.lit("/"), F.when(F.col("fixed") | F.col("own"), F.col("here")).otherwise(WILDCARD))
         rows = rows.withColumn("so_far", F.when(F.col("here").isNull(), F.col("so_far")).otherwise(grown)).drop("here", "fixed", "own")
@@ -137,14 +151,15 @@ def url_filter(
     depth: int = DEPTH,
     support: int = SUPPORT,
     apart: float = APART,
+    gap: float = GAP,
     weight: float = WEIGHT,
     least_purity: float = PURITY,
 ) -> DataFrame:
     """One row per row of `pages`: id, host, path, rule, verdict, template, labelled and purity.
 
     Each host has a tree of path templates. Numbers and codes in a segment are placeholders from the start; level by level,
-    from the root, branches that don't differ statistically from the others of their node (in the share of bad pages
-    among labelled ones, in the share of paths that end there) merge into a wildcard, so that what lies below is
+    from the root, branches that don't differ statistically from what most of their node's pages have (in the share of bad
+    pages among labelled ones, in the share of paths that end there) merge into a wildcard, so that what lies below is
     counted together. A template's purity is its share of good pages among labelled ones, smoothed towards its
     host's, which is smoothed towards that of all pages. Templates below `least_purity` are rejected. A page has the verdict
     of the longest rule that fits it, else that of its template.
@@ -165,7 +180,7 @@ def url_filter(
     parsed = stage(parsed.withColumn("parts", segments(F.col("path"), depth)))
     labelled = F.count("bad")
     good = labelled - F.sum(F.coalesce(F.col("bad").cast("long"), F.lit(0)))
-    rows = with_templates(parsed, depth, support, apart)
+    rows = with_templates(parsed, depth, support, apart, gap)
     templates = stage(rows.groupBy("host", "template").agg(labelled.alias("labelled"), good.alias("good")))
     hosts = stage(templates.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("good").alias("host_good")))
     sums = hosts.agg(F.sum("host_labelled").alias("labelled"), F.sum("host_good").alias("good")).first()
@@ -198,9 +213,16 @@ def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 def oracle(depth: int = DEPTH) -> str:
     """The query as one statement: three steps for each level of the tree."""
-    apart = "({t} >= {s} and {T} - {t} >= {s} and power({h} / {t} - ({H} - {h}) / ({T} - {t}), 2) > {z} * {z} * ({H} / {T} * (1 - {H} / {T}) * (1 / {t} + 1 / ({T} - {t}))))"
-    by_label = apart.format(h="bads", t="labelled", H="all_bads", T="all_labelled", s=SUPPORT, z=APART)
-    by_shape = apart.format(h="ends", t="n", H="all_ends", T="all_n", s=SUPPORT, z=APART)
+    def differ(h: str, t: str) -> str:
+        rate = f"(({h} + {h}_hits) / ({t} + {h}_total))"
+        return f"""({t} >= {SUPPORT} and {h}_total >= {SUPPORT} and power({h} / {t} - {h}_hits / {h}_total, 2)
+      > greatest({APART}::double * {APART} * ({rate} * (1 - {rate}) * (1 / {t} + 1 / {h}_total)), {GAP}::double * {GAP}))"""
+
+    def common(k: int, h: str, t: str) -> str:
+        return f"""(select host, so_far, max_by({{hits: hits, total: total}}, [total, -class]) as c from (
+      select host, so_far, least(floor({h} * {CLASSES} / {t}), {CLASSES - 1}) as class, sum({h}) as hits, sum({t}) as total from child{k} where {t} > 0 group by all
+    ) group by all)"""
+
     levels = "".join(
         f"""
 ), at{k} as (
@@ -210,10 +232,10 @@ def oracle(depth: int = DEPTH) -> str:
     count(bad)::double as labelled, sum(coalesce(bad::int, 0))::double as bads
   from at{k} where here is not null and not fixed group by all
 ), own{k} as (
-  select host, so_far, here from child{k} join (
-    select host, so_far, sum(n) as all_n, sum(ends) as all_ends, sum(labelled) as all_labelled, sum(bads) as all_bads from child{k} group by all
-  ) using (host, so_far)
-  where n >= {SUPPORT} and ({by_label} or {by_shape})
+  select host, so_far, here from (
+    select c.*, b.c.hits as bads_hits, b.c.total as bads_total, e.c.hits as ends_hits, e.c.total as ends_total
+    from child{k} c left join {common(k, "bads", "labelled")} b using (host, so_far) left join {common(k, "ends", "n")} e using (host, so_far)
+  ) where n >= {SUPPORT} and (coalesce({differ("bads", "labelled")}, false) or coalesce({differ("ends", "n")}, false))
 ), tree{k} as (
   select a.id, a.host, a.path, a.bad, a.parts,
     case when a.here is null then a.so_far when a.fixed or o.here is not null then a.so_far || '/' || a.here else a.so_far || '/{WILDCARD}' end as so_far
