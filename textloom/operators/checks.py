@@ -10,7 +10,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import icu, text
 
 #: Penalty of a severity, and the ladder order.
 WEIGHTS = {"neutral": 0, "minor": 1, "major": 5, "critical": 25}
@@ -124,3 +124,65 @@ def first_failing_gate(gates: DataFrame, by: list[str]) -> DataFrame:
 def inconsistent_targets(pairs: DataFrame, source: str, target: str) -> DataFrame:
     """Sources that have more than one target."""
     return pairs.groupBy(source).agg(F.countDistinct(target).alias("targets")).filter("targets > 1")
+
+
+#: Placeholder forms without braces, which an ICU message takes for text.
+UNBRACED = r"%\([^)]+\)[a-zA-Z]|%\d+\$[a-zA-Z]|%[sdifeEgGxXobpqv@%]|</?[0-9]+>"
+
+
+def placeholder_check(pairs: DataFrame, keys: list[str], source: str, target: str) -> DataFrame:
+    """Placeholders that a target drops (missing, critical) or invents (extra, major): keys, token, category, severity,
+    and how often both sides have it, where counts were compared (else null).
+
+    Where both sides are well-formed ICU messages and one chooses between sub-messages (plural, select, selectordinal),
+    they are compared as such: tokens outside sub-messages by count, those inside by presence, since languages
+    have different numbers of branches; branch names and texts don't count. All others are compared literally. Extra is only
+    what the source hasn't at all. Null texts count as empty.
+    """
+    texts = pairs.select(*keys, F.coalesce(F.col(source), F.lit("")).alias("_s"), F.coalesce(F.col(target), F.lit("")).alias("_t"))
+    picking = icu.may_pick(F.col("_s")) | icu.may_pick(F.col("_t"))
+    parsed = texts.withColumns({"_icu_s": icu.tokens(F.col("_s"), picking), "_icu_t": icu.tokens(F.col("_t"), picking)})
+
+    def count(tokens: Column, token: Column) -> Column:
+        return F.size(F.filter(tokens, lambda x: x == token))
+
+    def named(frame: Column, token: Column) -> Column:
+        return F.coalesce(F.try_element_at(F.filter(frame, lambda x: x["token"] == token), F.lit(1))["n"], F.lit(0))
+
+    def row(token: Column, category: str, a: Column | None = None, b: Column | None = None) -> Column:
+        counts = [(F.lit(None) if x is None else x).cast("int").alias(name) for x, name in ((a, "in_source"), (b, "in_target"))]
+        severity = "critical" if category == "missing" else "major"
+        return F.struct(token.alias("token"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), *counts)
+
+    s, t = text.placeholders(F.col("_s")), text.placeholders(F.col("_t"))
+    literal = F.concat(
+        F.transform(F.filter(F.array_distinct(s), lambda x: count(t, x) < count(s, x)), lambda x: row(x, "missing", count(s, x), count(t, x))),
+        F.transform(F.array_except(t, s), lambda x: row(x, "extra", F.lit(0), count(t, x))),
+    )
+    frames, inners = (F.col("_icu_s.frame"), F.col("_icu_t.frame")), (F.col("_icu_s.inner"), F.col("_icu_t.inner"))
+    others = [F.regexp_extract_all(c, F.lit(UNBRACED), F.lit(0)) for c in ("_s", "_t")]
+
+    def anywhere(side: int) -> Column:
+        return F.concat(F.transform(frames[side], lambda x: x["token"]), inners[side])
+
+    nested = F.concat(
+        F.transform(
+            F.filter(frames[0], lambda x: named(frames[1], x["token"]) < x["n"]),
+            lambda x: row(x["token"], "missing", x["n"], named(frames[1], x["token"])),
+        ),
+        F.transform(F.array_except(inners[0], anywhere(1)), lambda x: row(x, "missing")),
+        F.transform(F.array_except(others[0], others[1]), lambda x: row(x, "missing")),
+        F.transform(F.array_except(F.transform(frames[1], lambda x: x["token"]), anywhere(0)), lambda x: row(x, "extra")),
+        F.transform(F.array_except(inners[1], anywhere(0)), lambda x: row(x, "extra")),
+        F.transform(F.array_except(others[1], others[0]), lambda x: row(x, "extra")),
+    )
+    as_icu = F.col("_icu_s.picker").isNotNull() & F.col("_icu_t.picker").isNotNull() & (F.col("_icu_s.picker") | F.col("_icu_t.picker"))
+    return parsed.select(*keys, F.explode(F.when(as_icu, nested).otherwise(literal)).alias("f")).select(*keys, "f.*")
+
+
+def most_codes(branches: Column) -> Column:
+    """Tokens of several branches (array of arrays) with the most that one branch has of each: array of struct(token, n)."""
+    all_ = F.array_sort(F.array_distinct(F.flatten(branches)))
+    return F.transform(
+        all_, lambda x: F.struct(x.alias("token"), F.array_max(F.transform(branches, lambda b: F.size(F.filter(b, lambda y: y == x)))).alias("n"))
+    )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import identity, text
+from ..functions import edits as run_edits
+from ..functions import identity, runs, text
 from .flow import register
 
 BODY = {"needs": {"source_text"}}
@@ -114,3 +115,29 @@ def apply_edits(df: DataFrame, edits: DataFrame) -> DataFrame:
     out = held.withColumn("_edit", edit).withColumn("edit_state", state)
     changed = F.when(F.col("edit_state") == "applied", F.col("_edit.new_text")).otherwise(F.col("source_text"))
     return out.withColumn("source_text", changed).select(*df.columns, "edit_state")
+
+
+@register("apply-run-edits", needs={"block_id", "source"}, gives={"edit_state"})
+def apply_run_edits(df: DataFrame, edits: DataFrame) -> DataFrame:
+    """Edits (block_id, expected_hash, new_text) of blocks whose source is runs; codes in new_text as <x id="..."/> tags.
+
+    States as in `apply_edits`, and guard_failed where the new text would lose, invent, repeat or unbalance a code; then the
+    source stays. A source with plural or select runs is replaced by the plain text.
+    """
+    by_id = edits.filter("block_id is not null").groupBy("block_id").agg(F.min(F.struct("new_text", "expected_hash")).alias("_by_id"))
+    by_hash = edits.filter("coalesce(expected_hash, '') <> ''").groupBy(F.col("expected_hash").alias("_hash")).agg(F.min(F.struct("new_text", F.col("expected_hash"))).alias("_by_hash"))
+    held = df.withColumn("_hash", identity.content_hash(runs.plain_text(F.col("source")))).join(by_id, "block_id", "left").join(by_hash, "_hash", "left")
+    held = held.withColumn("_edit", F.coalesce("_by_id", "_by_hash"))
+    held = held.withColumn("_new", run_edits.parse_placeholder_text(F.col("_edit.new_text"), F.col("source"))).withColumn("_flat", ~run_edits.structured(F.col("source")))
+    open_ = F.coalesce(F.col("translatable"), F.lit(True)) if "translatable" in df.columns else F.lit(True)
+    state = (
+        F.when(F.col("_edit").isNull() | ~open_, "none")
+        .when(F.col("_edit.new_text") == run_edits.placeholder_text(F.col("source")), "skipped")
+        .when((F.coalesce(F.col("_edit.expected_hash"), F.lit("")) != "") & (F.col("_edit.expected_hash") != F.col("_hash")), "stale")
+        .when(F.col("_flat") & ~run_edits.codes_kept(F.col("source"), F.col("_new")), "guard_failed")
+        .otherwise("applied")
+    )
+    plain = F.array(run_edits._text_run(runs.plain_text(F.col("_new"))))
+    out = held.withColumn("edit_state", state)
+    changed = F.when(F.col("edit_state") == "applied", F.when(F.col("_flat"), F.col("_new")).otherwise(plain)).otherwise(F.col("source"))
+    return out.withColumn("source", changed).select(*df.columns, "edit_state")
