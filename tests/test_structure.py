@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import edits, icu, runs
-from textloom.operators import checks, scans, tree
+from textloom.operators import checks, scans, srx, tree
 from textloom.plans import tools
 
 EVENT = "doc_id string, seq long, kind string, node_id string, type string, role string, level int, col_span int, row_span int, text string, properties map<string,string>"
@@ -306,3 +306,57 @@ def test_placeholder_check_of_messages(spark):
 def test_most_codes_of_branches(spark):
     df = spark.createDataFrame([([["a", "a", "b"], ["a", "c"], []],)], "b array<array<string>>")
     assert [(x["token"], x["n"]) for x in df.select(checks.most_codes(F.col("b")).alias("m")).first()["m"]] == [("a", 2), ("b", 1), ("c", 1)]
+
+
+def test_srx_rules_decide_in_order():
+    import regex
+
+    rules = srx.parse_srx(srx.DEFAULT_SRX)
+    chance = random.Random(4)
+    pieces = ["Mr", "Dr", "J", ".", "...", "…", " ", "\n", "a", "B", "!", "?", '"', ")", "3", "z. B", "。"]
+    for _ in range(150):
+        text = "".join(chance.choice(pieces) for _ in range(25))
+        chosen = rules.of_locale(chance.choice(["en-GB", "de", "fr", "es", None]))
+        places = [{m.start() for m in regex.finditer(f"(?<={r.before})(?={r.after})", text)} for r in chosen]
+        first = [next((r.breaks for r, at in zip(chosen, places, strict=True) if p in at), False) for p in range(len(text))]
+        assert srx.break_places(text, chosen) == [p for p in range(1, len(text)) if first[p]]
+
+
+def test_srx_reading():
+    text = """<srx version="2.0"><header cascade="no"/><body><languagerules>
+      <languagerule languagerulename="one"><rule><beforebreak>;</beforebreak></rule></languagerule>
+      <languagerule languagerulename="two"><rule break="no"><afterbreak>x</afterbreak></rule></languagerule></languagerules>
+      <maprules><languagemap languagepattern="EN.*" languagerulename="one"/><languagemap languagepattern=".*" languagerulename="two"/></maprules></body></srx>"""
+    rules = srx.parse_srx(text)
+    assert rules.of_locale("en-US") == (srx.Rule(True, ";", ""),) and rules.of_locale("de") == (srx.Rule(False, "", "x"),)
+    assert srx.parse_srx(text.replace('"no"/>', '""/>')).of_locale("en") == (srx.Rule(True, ";", ""), srx.Rule(False, "", "x"))
+    assert srx.break_places("a;b;", rules.of_locale("en")) == [2]
+
+
+def test_segments_of_masked_runs(spark):
+    rules = srx.parse_srx(srx.DEFAULT_SRX)
+    given = [
+        ([text("One."), code("ph"), text("Two. "), code("pcOpen"), text("Three."), code("pcClose"), text("  ")], 0),
+        ([code("ph"), code("sub")], 1),
+        ([], 2),
+    ]
+    df = run_frame(spark, given, "k int").withColumn("locale", F.lit("en"))
+    df = df.unionByName(df.filter("k = 2").withColumns({"runs": F.lit(None).cast(runs.RUNS), "k": F.lit(3)}))
+
+    def cut(spaced):
+        return {r["k"]: [(s["id"], s["start"], s["end"], s["text"]) for s in r["segments"]] for r in srx.segment_runs(df, "runs", "locale", rules, spaced).collect()}
+
+    assert cut(False) == {0: [("s1", 0, 8, "One.Two."), ("s2", 9, 15, "Three.")], 1: [], 2: [], 3: []}
+    assert cut(True) == {0: [("s1", 0, 4, "One."), ("s2", 4, 8, "Two."), ("s3", 9, 15, "Three.")], 1: [], 2: [], 3: []}
+
+
+def test_units_are_committed_whole(spark):
+    segment = "array<struct<id:string,start:int,end:int,text:string>>"
+    rows = [("a", "x y", {"": [("s1", 0, 1, "x"), ("s2", 2, 3, "y")]}), ("b", "whole", {"other": [("s1", 0, 5, "whole")]}), ("c", "", None)]
+    blocks = spark.createDataFrame(rows, f"id string, text string, layers map<string,{segment}>")
+    found = srx.units(blocks, "id", "text", "layers", "")
+    assert sorted((r["id"], r["unit"], r["start"], r["text"]) for r in found.collect()) == [("a", 0, 0, "x"), ("a", 1, 2, "y"), ("b", 0, 0, "whole")]
+    written = spark.createDataFrame([("a", 0, "X"), ("b", 0, "W")], "id string, unit int, target_text string")
+    assert [tuple(r) for r in srx.committed(found, written, "id").collect()] == [("b", "W")]
+    marked = found.withColumn("ignorable", F.col("text") == "y")
+    assert sorted(tuple(r) for r in srx.committed(marked, written, "id").collect()) == [("a", "Xy"), ("b", "W")]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import edits, runs
 from ..functions.identity import content_hash
-from ..operators import checks, tree
+from ..operators import checks, srx, tree
 from ..schema import table
 from . import tools
 
@@ -153,6 +153,20 @@ def message_placeholders(spark: SparkSession, d: str) -> DataFrame:
     return checks.placeholder_check(messages(spark, d), ["p_partkey"], "source", "target")
 
 
+def srx_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of each document by its language's rules; a placeholder in the middle of the text hides nothing from them."""
+    body, half = F.coalesce("text", F.lit("")), F.floor(F.length("text") / 2).cast("int")
+
+    def run(kind: str, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+
+    halves = F.array(run("text", F.substring(body, F.lit(1), half)), run("ph", F.lit(None).cast("string")), run("text", F.substring(body, half + 1, F.length(body))))
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.when(F.col("text").isNotNull(), halves).alias("runs"))
+    found = srx.segment_runs(docs, "runs", "lang", srx.parse_srx(srx.DEFAULT_SRX))
+    joined = F.array_join(F.transform("segments", lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["text"])), "|")
+    return found.select("doc_id", F.size("segments").cast("long").alias("segments"), F.sha2(joined, 256).alias("digest"))
+
+
 ORDER_CELLS = """
 WITH l AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_returnflag, l_linestatus) AS n, l_orderkey % 3 = 0 AS flat, * FROM lineitem),
 c AS (
@@ -161,7 +175,29 @@ c AS (
   UNION ALL SELECT doc_id, n, flat, l_returnflag, n * 10 + 3, 'table-cell', CAST(l_suppkey AS VARCHAR) FROM l
 )"""
 
+SRX_SEGMENTS = r"""
+WITH c AS (SELECT doc_id, lang, text, unnest(range(1, length(text))) AS p FROM documents),
+x AS (SELECT doc_id, lang, p, substr(text, greatest(p - 23, 1)::BIGINT, least(p, 24)::BIGINT) AS b, substr(text, p + 1, 60) AS a FROM c
+  WHERE regexp_matches(substr(text, p, 1), '[.!?…"'')\]}”’»\n。！？]')),
+y AS (SELECT doc_id, p, CASE
+  WHEN lang = 'de' AND regexp_matches(b, '\b(?:z\.\s?B|bzw|usw|ca|Nr|Str|\d{1,2})\.\z') AND regexp_matches(a, '\A\s') THEN false
+  WHEN lang = 'fr' AND regexp_matches(b, '\b(?:M|Mme|Mlle|p\.ex)\.\z') AND regexp_matches(a, '\A\s') THEN false
+  WHEN lang = 'es' AND regexp_matches(b, '\b(?:Sr|Sra|Ud|p\.ej)\.\z') AND regexp_matches(a, '\A\s') THEN false
+  WHEN lang = 'en' AND regexp_matches(b, '\b(?:Mr|Mrs|Ms|vs|e\.g|i\.e)\.\z') AND regexp_matches(a, '\A\s') THEN false
+  WHEN regexp_matches(b, '(?:\A|[^\pL\d_])(?:Dr|Prof|St|etc|\p{Lu})\.\z') AND regexp_matches(a, '\A[ \t]') THEN false
+  WHEN regexp_matches(b, '(?:\.\.\.|…)\z') AND regexp_matches(a, '\A\s+\p{Ll}') THEN false
+  WHEN regexp_matches(b, '\n\z') THEN true
+  WHEN regexp_matches(b, '[.!?…][\p{Pe}\p{Pf}"'']?\z') AND regexp_matches(a, '\A\s') THEN true
+  ELSE regexp_matches(b, '[。！？]\z') END AS breaks FROM x),
+e AS (SELECT doc_id, p FROM y WHERE breaks UNION ALL SELECT doc_id, 0 FROM documents WHERE length(text) > 0 UNION ALL SELECT doc_id, length(text) FROM documents WHERE length(text) > 0),
+s AS (SELECT doc_id, p AS start, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS stop FROM e),
+t AS (SELECT doc_id, start, substr(text, start + 1, stop - start) AS part FROM s JOIN documents USING (doc_id) WHERE stop > start),
+u AS (SELECT doc_id, start + length(part) - length(regexp_replace(part, '\A\s+', '')) AS start, regexp_replace(regexp_replace(part, '\A\s+', ''), '\s+\z', '') AS text FROM t)
+SELECT d.doc_id, count(u.text) AS segments, sha256(coalesce(string_agg(u.start || ':' || u.text, '|' ORDER BY u.start), '')) AS digest
+FROM documents d LEFT JOIN u ON u.doc_id = d.doc_id AND u.text <> '' GROUP BY d.doc_id"""
+
 QUERIES = {
+    "srx_segments": (srx_segments, SRX_SEGMENTS),
     "page_tree": (
         page_tree,
         rf"""
