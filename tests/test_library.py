@@ -49,6 +49,9 @@ def test_text_functions(spark):
     assert one(spark, text.timecode_ms(F.lit("02:03.004"))) == 123004
     assert one(spark, text.format_timecode(F.lit(3723004).cast("long"))) == "01:02:03,004"
     assert one(spark, text.has_doubled_word(F.lit("is is it"))) and not one(spark, text.has_doubled_word(F.lit("is it")))
+    for said, doubled in {"The the fox": True, "pass1 pass1": True, "проверка проверка": True, "▒ ▒ x ▒ ▒": False, "a — — b": False, "a … … b": False}.items():
+        assert one(spark, text.has_doubled_word(F.lit(said))) is doubled
+    assert not one(spark, text.has_doubled_word(F.lit("Vous vous souvenez"), ("sie", "vous"))) and one(spark, text.has_doubled_word(F.lit("nous nous"), ("vous",)))
     assert one(spark, text.variant_key(F.lit("de"), F.lit("formal"), F.lit(""))) == "de;tone=formal"
 
 
@@ -372,6 +375,13 @@ def test_edits_gates_and_order(spark):
     gated = spark.createDataFrame([("1", "a", "", True), ("2", " ", "approved", True), ("3", "a", "approved", True), ("4", "", "odd", False)], "block_id string, source_text string, source_status string, translatable boolean")
     out = {r["block_id"]: (r["source_status"], r["held"]) for r in flow.run(gated, [("source-gate", {})]).collect()}
     assert out == {"1": ("checked", False), "2": ("authored", True), "3": ("approved", False), "4": ("odd", False)}
+    found = spark.createDataFrame([("1", "minor"), ("1", "critical"), ("3", "minor"), ("4", "critical")], "block_id string, severity string")
+    out = {r["block_id"]: (r["source_status"], r["held"]) for r in flow.run(gated, [("source-gate", {"findings": found})]).collect()}
+    assert out == {"1": ("authored", True), "2": ("authored", True), "3": ("approved", False), "4": ("odd", False)}
+    out = {r["block_id"]: r["source_status"] for r in flow.run(gated, [("source-check", {"findings": found, "block_severity": "minor"})]).collect()}
+    assert out == {"1": "authored", "2": "approved", "3": "authored", "4": "odd"}
+    with pytest.raises(ValueError):
+        flow.run(gated, [("source-check", {"block_severity": "severe"})])
     regions = spark.createDataFrame([(1, "b", 0.0, 50.0), (1, "c", 100.0, 0.0), (1, "a", 10.0, 0.0), (1, "d", 130.0, 5.0), (1, "e", 160.0, 1.0)], "page int, region_id string, x double, y double").withColumn("w", F.lit(80.0)).withColumn("h", F.lit(20.0))
     order = layout.reading_order(regions).orderBy("ordinal").collect()
     assert [(r["region_id"], r["ordinal"]) for r in order] == [("a", 0), ("b", 1), ("c", 2), ("d", 3), ("e", 4)]

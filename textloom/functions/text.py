@@ -89,10 +89,20 @@ def placeholders(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0))
 
 
-def has_doubled_word(text: Column) -> Column:
-    """Whether a word follows itself, in whatever case."""
+def is_word(token: Column) -> Column:
+    """Whether a token has a letter or a digit: a dash that repeats is no doubled word."""
+    return token.rlike(r"[\p{L}\p{N}]")
+
+
+def has_doubled_word(text: Column, exceptions: tuple[str, ...] = ()) -> Column:
+    """Whether a word follows itself, in whatever case. `exceptions`: words that a language may double."""
     words = F.split(F.lower(text), r"[ \n\t]+")
-    return F.exists(F.zip_with(words, F.slice(words, 2, 1 << 30), lambda a, b: (a == b) & (a != "")), lambda same: F.coalesce(same, F.lit(False)))
+    allowed = [w.strip().lower() for w in exceptions]
+
+    def doubled(a: Column, b: Column) -> Column:
+        return (a == b) & is_word(a) & (~a.isin(allowed) if allowed else F.lit(True))
+
+    return F.exists(F.zip_with(words, F.slice(words, 2, 1 << 30), doubled), lambda same: F.coalesce(same, F.lit(False)))
 
 
 def has_leading_space(text: Column) -> Column:

@@ -63,7 +63,7 @@ def doubled_words(blocks: DataFrame, keys: list[str], text_col: str) -> DataFram
     """Blocks in which a word follows itself, with the number of places."""
     words = blocks.select(*keys, F.split(F.lower(text_col), r"[ \n\t]+").alias("w"))
     pairs = F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w")).alias("b"))
-    same = F.filter(pairs, lambda p: (p["a"] == p["b"]) & (p["a"] != ""))
+    same = F.filter(pairs, lambda p: (p["a"] == p["b"]) & text.is_word(p["a"]))
     return words.filter(F.size("w") > 1).select(*keys, F.size(same).cast("long").alias("places")).filter("places > 0")
 
 

@@ -216,8 +216,8 @@ def unmet_patterns(docs: DataFrame, patterns: list[tuple[str, str]], key: str, t
     return docs.select(key, F.explode(F.array_compact(F.array(*missing, F.lit(None).cast("string")))).alias("rule"))
 
 
-def compliance_scores(found: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key and dimension: score, penalty and issues, and the key's overall score.
+def compliance_scores(found: DataFrame, keys: list[str], of: DataFrame) -> DataFrame:
+    """Per key of `of` and dimension: score, penalty and issues, and the key's overall score; 100 for keys without findings.
 
     found: keys, category, severity. Each score is 100 less the penalties, at least 0, whatever the length; dimensions
     without findings score 100, and findings of other categories count in none.
@@ -226,7 +226,7 @@ def compliance_scores(found: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(weight(F.col("severity"))).alias("penalty"), F.count(F.lit(1)).alias("issues")
     )
     held = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("category", F.struct("penalty", "issues")))).alias("m"), F.sum("penalty").alias("total"))
-    every = found.select(*keys).distinct().join(held, keys, "left").withColumn("dimension", F.explode(F.array(*[F.lit(d) for d in DIMENSIONS])))
+    every = of.select(*keys).distinct().join(held, keys, "left").withColumn("dimension", F.explode(F.array(*[F.lit(d) for d in DIMENSIONS])))
     of = F.try_element_at("m", F.col("dimension"))
     penalty = F.coalesce(of["penalty"], F.lit(0)).cast("long")
 

@@ -182,7 +182,7 @@ SELECT doc_id, unnest(list_filter([
   CASE WHEN NOT filled THEN 'empty' END, CASE WHEN filled AND regexp_matches(t, '\A\s') THEN 'leading-whitespace' END,
   CASE WHEN filled AND regexp_matches(regexp_replace(t, '\r?\n\z', ''), '\s\z') THEN 'trailing-whitespace' END,
   CASE WHEN filled AND contains(t, '  ') THEN 'double-spaces' END,
-  CASE WHEN filled AND len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1] AND w[i] <> '')) > 0 THEN 'doubled-word' END,
+  CASE WHEN filled AND len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1] AND regexp_matches(w[i], '[\pL\pN]'))) > 0 THEN 'doubled-word' END,
   CASE WHEN filled AND regexp_matches(t, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]') THEN 'control-char' END
   ], lambda x: x IS NOT NULL)) AS category, CASE category WHEN 'empty' THEN 'major' ELSE 'minor' END AS severity
 FROM (SELECT doc_id, coalesce(text, '') AS t, regexp_matches(t, '\S') AS filled, regexp_split_to_array(lower(t), '[ \n\t]+') AS w FROM documents)
@@ -211,7 +211,7 @@ FROM documents JOIN c USING (lang) GROUP BY lang""",
         doubled_words,
         r"""
 WITH w AS (SELECT doc_id, regexp_split_to_array(lower(text), '[ \n\t]+') AS w FROM documents)
-SELECT doc_id, CAST(len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1] AND w[i] <> '')) AS BIGINT) AS places
+SELECT doc_id, CAST(len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1] AND regexp_matches(w[i], '[\pL\pN]'))) AS BIGINT) AS places
 FROM w WHERE places > 0""",
     ),
     "length_limits": (length_limits, LIMITS),

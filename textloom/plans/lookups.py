@@ -14,7 +14,7 @@ def compliance_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     style = checks.lint(docs, ["doc_id"], "text").withColumn("category", F.lit("style"))
     clarity = checks.length_limits(docs, ["doc_id"], "text", 5000, 1000).withColumn("category", F.when(F.col("category") == "too_many_words", "clarity").otherwise("other"))
-    return govern.compliance_scores(style.unionByName(clarity), ["doc_id"])
+    return govern.compliance_scores(style.unionByName(clarity), ["doc_id"], docs)
 
 
 def filtered_facets(spark: SparkSession, d: str) -> DataFrame:
@@ -53,10 +53,10 @@ QUERIES = {
         r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_split_to_array(lower(coalesce(text, '')), '[ \n\t]+') AS w FROM documents),
 l AS (SELECT doc_id, t, CAST(regexp_matches(t, '\A\s') AS INT) + CAST(regexp_matches(regexp_replace(t, '\r?\n\z', ''), '\s\z') AS INT) + CAST(contains(t, '  ') AS INT)
-  + CAST(len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1] AND w[i] <> '')) > 0 AS INT) + CAST(regexp_matches(t, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]') AS INT) AS nits FROM t),
+  + CAST(len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1] AND regexp_matches(w[i], '[\pL\pN]'))) > 0 AS INT) + CAST(regexp_matches(t, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]') AS INT) AS nits FROM t),
 s AS (SELECT doc_id, CASE WHEN regexp_matches(t, '\S') THEN nits ELSE 5 END AS style, CASE WHEN regexp_matches(t, '\S') THEN nits ELSE 1 END AS issues,
   CAST(len(regexp_extract_all(t, '[^\s]+')) > 1000 AS INT) AS clarity, length(t) > 5000 AS long FROM l),
-k AS (SELECT * FROM s WHERE issues > 0 OR clarity > 0 OR long),
+k AS (SELECT * FROM s),
 d(dimension) AS (VALUES ('tone'), ('style'), ('vocabulary'), ('clarity'), ('compliance'))
 SELECT doc_id, dimension, CAST(greatest(100 - penalty, 0) AS BIGINT) AS score, CAST(penalty AS BIGINT) AS penalty, CAST(CASE dimension WHEN 'style' THEN issues WHEN 'clarity' THEN clarity ELSE 0 END AS BIGINT) AS issues,
   CAST(greatest(100 - style - clarity, 0) AS BIGINT) AS overall

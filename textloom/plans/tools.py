@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import edits as run_edits
 from ..functions import identity, runs, text
+from ..operators import checks
 from .flow import register
 
 BODY = {"needs": {"source_text"}}
@@ -76,20 +77,39 @@ def content_identity(df: DataFrame) -> DataFrame:
     return df.withColumn("content_hash", identity.content_hash(F.col("source_text")))
 
 
-@register("source-gate", needs={"source_text", "source_status", "translatable"}, gives={"held"})
-def source_gate(df: DataFrame, required: str = "checked") -> DataFrame:
+@register("source-check", needs={"block_id", "source_text", "source_status", "translatable"})
+def source_check(df: DataFrame, findings: DataFrame | None = None, block_severity: str = "") -> DataFrame:
+    """Settles the status of translatable blocks by the worst of their findings, a terminal step after source checks.
+
+    findings: rows of block_id and severity that checks before left, of any kind. A finding of `block_severity` (minor,
+    major or critical; major by default) or above makes a block 'authored' again; any other block becomes 'checked', or stays
+    'approved'. Blocks without any text keep their status, as do those that aren't translatable.
+    """
+    wanted = block_severity.strip().lower() or "major"
+    if wanted not in ("minor", "major", "critical"):
+        raise ValueError(f"block_severity is minor, major or critical, not {block_severity}")
+    settled = F.when(F.col("source_status") == "approved", "approved").otherwise("checked")
+    out = df
+    if findings is not None:
+        worst = findings.groupBy("block_id").agg(F.max(checks.weight(F.col("severity"))).alias("_worst"))
+        out = df.join(worst, "block_id", "left")
+        settled = F.when(F.coalesce("_worst", F.lit(0)) >= checks.WEIGHTS[wanted], "authored").otherwise(settled)
+    open_ = F.coalesce(F.col("translatable"), F.lit(False)) & (F.coalesce("source_text", F.lit("")) != "")
+    return out.withColumn("source_status", F.when(open_, settled).otherwise(F.col("source_status"))).select(*df.columns)
+
+
+@register("source-gate", needs={"block_id", "source_text", "source_status", "translatable"}, gives={"held"})
+def source_gate(df: DataFrame, required: str = "checked", findings: DataFrame | None = None) -> DataFrame:
     """Settles the status of translatable blocks and holds those below the required one; 'none' does neither.
 
-    A block with a major finding (an empty text) is 'authored'; any other is 'checked', or stays 'approved'. An unknown
-    `required` is 'checked'.
+    Settled as by `source_check`, from the hygiene findings of the texts and those given. An unknown `required` is 'checked'.
     """
     if required == "none":
         return df.withColumn("held", F.lit(False))
     ladder = ["authored", "checked", "approved"]
     wanted = ladder.index(required if required in ladder else "checked")
-    empty = text.trim_space(F.coalesce("source_text", F.lit(""))) == ""
-    settled = F.when(empty, "authored").when(F.col("source_status") == "approved", "approved").otherwise("checked")
-    out = df.withColumn("source_status", F.when(F.col("translatable"), settled).otherwise(F.col("source_status")))
+    left = checks.lint(df, ["block_id"], "source_text").select("block_id", "severity")
+    out = source_check(df, left if findings is None else left.unionByName(findings.select("block_id", "severity")))
     rank = F.array_position(F.array(*[F.lit(s) for s in ladder]), F.col("source_status")) - 1
     return out.withColumn("held", F.coalesce(F.col("translatable") & (rank < wanted), F.lit(False)))
 
