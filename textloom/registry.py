@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("content", "lookups", "relational", "retrieval", "formats", "layout", "streams", "structure")
+MODULES = ("content", "lookups", "relational", "retrieval", "formats", "layout", "streams", "structure", "usage")
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
