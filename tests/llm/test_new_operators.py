@@ -10,7 +10,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import fill_middle, periodic_runs, queries, url_filters
+from textloom.llm import fill_middle, periodic_runs, queries, similar, url_filters
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -216,3 +216,75 @@ def test_labels_of_pages(spark):
     labels = spark.createDataFrame([(7, 1, 0), (7, 0, 0), (8, 1, None), (None, 0, 0)], "doc_id long, quality int, toxic int")
     found = {r["page_id"]: r["bad"] for r in url_filters.labelled_pages(pages, labels).collect()}
     assert found == {1: True, 2: None, 3: None, 4: False}
+
+
+def similar_by_trial(docs, similarity=0.8, shingle=5):
+    """Smallest id of each document's group, by comparing all pairs of shingle sets."""
+    sets = {}
+    for doc_id, text in docs:
+        words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        sets[doc_id] = {tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or sets[a] | sets[b] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: find(d) for d in sets}
+
+
+@pytest.mark.parametrize("bucket", [2, 128])
+def test_similar_texts_are_found(spark, bucket):
+    """With buckets of two, heads and splits decide."""
+    chance = random.Random(11)
+    words = [f"w{k}" for k in range(400)]
+    shared = [chance.choice(words) for _ in range(30)]
+    docs = []
+    for k in range(12):
+        base = [chance.choice(words) for _ in range(chance.randint(8, 90))] + (shared if k % 2 else [])
+        for _ in range(6):
+            text = list(base)
+            for _ in range(chance.choice([0, 0, 1, 1, 2, 6])):
+                text[chance.randrange(len(text))] = chance.choice(words)
+            docs.append(" ".join(text))
+    docs += ["", " \n", "Only Three Words", "only three words", "other three words"]
+    rows = [(k, t) for k, t in enumerate(docs)]
+    expected = similar_by_trial(rows)
+    found = {r["doc_id"] for r in similar.similar_dedup(spark.createDataFrame(rows, "doc_id long, text string"), bucket=bucket).collect()}
+    assert found == {d for d, least in expected.items() if d == least}
+
+
+def test_similar_dedup_of_odd_rows(spark):
+    rows = [(None, "a b c d e f", 1), (3, "A b c d e f", 2), (3, "A b c d e f", 3), (None, None, 4), (7, "", 5), (8, "x", 6), (8, "y", 7), (None, "z", 8), (None, "z", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int").toDF("doc_id", "text", "TEXT")
+    found = sorted(((r[0], r[1]) for r in similar.similar_dedup(docs).collect()), key=str)
+    assert found == sorted([(3, "A b c d e f"), (7, ""), (8, "x"), (8, "y"), (None, "z")], key=str)
+    assert similar.similar_dedup(docs.filter("false")).collect() == []
+
+
+def test_overlap_of_sketches():
+    import numpy as np
+
+    chance = np.random.default_rng(1)
+    values = np.unique(chance.integers(0, 1 << 32, 6_000, dtype=np.uint32))
+    one, two = np.sort(chance.permutation(values)[:5_000]), np.sort(chance.permutation(values)[:5_200])
+    true = len(np.intersect1d(one, two)) / len(np.union1d(one, two))
+    found, rests_on = similar.overlap(one[:512], two[:512], 512)
+    assert abs(found - true) < 0.08 and rests_on > 400
+    assert similar.overlap(one[:100], one[:80], 512) == (0.8, 0)
+
+
+def test_line_dedup_of_rows_without_ids(spark):
+    """Two texts whose hashes share the 24 bits that an order of places holds."""
+    from textloom.llm.line_dedup import line_dedup
+
+    line = "one same line of several words"
+    for ids in ((None, None), (1, 2), (1, 1)):
+        docs = spark.createDataFrame([(ids[0], f"{line}\nunique number 7470"), (ids[1], f"{line}\nunique number 22056")], "doc_id long, text string")
+        assert sorted(r["n_removed"] for r in line_dedup(docs).collect()) == [0, 1]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, chunks, only_row, pick, stage, with_row
 from .components import connected_components
+from .similar import similar_dedup
 
 BITS, SHINGLE, DISTANCE, SEED = 64, 3, 2, 42
 #: Most fingerprints of a bucket that are compared with each other; larger buckets are split first.
@@ -235,9 +236,14 @@ def simhash_groups(
     return prints.join(nodes, "fp").select("id", "version", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+def near_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **options: int
+) -> DataFrame:
     """`docs` with one row of each group of near-duplicates: the one of the smallest id.
 
+    Fingerprints a few bits apart are those of texts that differ in little. With `similarity`, what they leave goes through
+    `similar.similar_dedup`, too: texts of five-word shingles 0.8 alike differ in some 10 of 64 bits, too many for a pigeonhole search.
+
     Options and odd cases are those of `simhash_groups`; of rows that repeat the smallest id, one stays
     (if their texts differ, the one of the smallest text hash). Rows of a group without ids collapse to
     one by text hash.
@@ -258,4 +264,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     if not stays.filter("rows > 1").isEmpty():  # repeats of a kept row: the same id and text
         kept = kept.groupBy("id", "version").agg(F.first("row").alias("row"))
-    return only_row(kept, docs.columns)
+    kept = only_row(kept, docs.columns)
+    return kept if similarity is None else similar_dedup(stage(kept), id_col, text_col, similarity=similarity)
