@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import converge, layers, usage
+from textloom.operators import converge, layers, recycle, usage
 
 USES = [
     ("memory", "The memory holds it.", ["memory"]),
@@ -166,3 +166,33 @@ def test_passes_stop_without_progress(spark):
     assert states == {"de": (6, 5, "parked"), "fr": (2, 2, "shippable")}
     assert converge.converge(work.limit(0), produce, ["id"])[1] == 0
     assert converge.converge(work, produce, ["id"], most_passes=2)[1] == 2
+
+
+def test_three_keys_and_recycling(spark):
+    keys = "generalized_key string, structural_key string, plain_key string, entities map<string,string>, project string"
+    queries = spark.createDataFrame(
+        [(1, "Buy {N} now", "Buy 5 now", "Buy 5 now", {"n": "5"}, "p"), (2, "completely different", "{1}abcdefghij{/1}", "abcdefghij", None, "p"), (3, "zzz", "zzz", "zzz", None, None), (4, "done", "done", "done", None, None)],
+        f"query_id int, {keys}",
+    )
+    entries = spark.createDataFrame(
+        [
+            (10, "Kaufe 7 jetzt 7", "Buy {N} now", "Buy 7 now", "Buy 7 now", {"n": "7"}, "p"),
+            (11, "other", "something else entirely", "nothing like it at all", "abcdefghix", None, "p"),
+            (12, "third", "completely differen", "no key of this kind", "nor of this kind", None, "q"),
+            (13, "erledigt", "done", "done", "done", None, None),
+            (14, "fertig", "done", "done", "done", None, None),
+        ],
+        f"entry_id int, target string, {keys}",
+    )
+    found = {(r["query_id"], r["entry_id"]): r for r in recycle.full_lookup(queries, entries, 0.7).collect()}
+    assert set(found) == {(1, 10), (2, 11), (2, 12), (4, 13), (4, 14)}
+    assert (found[1, 10]["tier"], found[1, 10]["score"], found[1, 10]["adapted"]) == (0, 1.0, "Kaufe 5 jetzt 7")
+    assert (found[2, 11]["tier"], round(found[2, 11]["score"], 4)) == (5, 0.93)  # 0.9 and the same project
+    assert (found[2, 12]["tier"], round(found[2, 12]["score"], 4)) == (3, 0.95)
+    assert found[4, 13]["ambiguous"] and found[4, 13]["score"] == 0.99
+    blocks = spark.createDataFrame([(1, "Buy 5 now", None), (2, "x", ""), (3, "zzz", None), (4, "done", "schon da")], "query_id int, source_text string, target_text string")
+    filled = {r["query_id"]: (r["memory_state"], r["memory_score"], r["target_text"]) for r in recycle.recycle(blocks, recycle.full_lookup(queries, entries, 0.7, 1)).collect()}
+    assert filled == {1: ("filled", 100, "Kaufe 5 jetzt 7"), 2: ("offered", 95, ""), 3: ("none", None, None), 4: ("kept", 99, "schon da")}
+    coded = blocks.withColumn("source_text", F.concat("source_text", F.lit('<x id="1/"/>')))
+    assert recycle.recycle(coded, recycle.full_lookup(queries, entries, 0.7, 1)).filter("query_id = 1").first()["memory_state"] == "offered"
+    assert {r["query_id"] for r in recycle.full_lookup(queries, entries, 1.0).collect()} == {1}

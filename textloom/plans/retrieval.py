@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import diff, graph, memory, segmentation, terms
+from ..operators import diff, graph, memory, recycle, segmentation, terms
 from ..schema import blocks_of_documents, table
 
 TERMS = [("c1", "the of"), ("c1", "thand"), ("c2", "for the"), ("c3", "les"), ("c4", "und"), ("c5", "in of the")]
@@ -52,6 +52,28 @@ def memory_tiered(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("query_id").agg(F.count(F.lit(1)).alias("matches"), F.round(F.max("score"), 6).alias("best"), F.min("tier").alias("tier"))
 
 
+def _codes_and_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as texts with keys that differ: every third has a code in it, and numbers are entities."""
+    part = table(spark, d, "part").withColumn("plain_key", F.concat_ws(" ", "p_name", F.lit("no"), "p_size"))
+    coded = F.concat(F.lit("{1}"), "p_name", F.lit("{/1} no "), "p_size")
+    part = part.withColumn("structural_key", F.when(F.col("p_partkey") % 3 == 0, coded).otherwise(F.col("plain_key")))
+    part = part.withColumn("generalized_key", F.regexp_replace("structural_key", "no [0-9]+", "no {NUMBER}"))
+    return part.withColumn("entities", F.create_map(F.lit("n"), F.col("p_size").cast("string"))).withColumn("project", F.col("p_brand"))
+
+
+def memory_recycled(spark: SparkSession, d: str) -> DataFrame:
+    """Every 100th part filled from the memory of all others."""
+    part = _codes_and_numbers(spark, d)
+    keys = ["generalized_key", "structural_key", "plain_key", "entities", "project"]
+    queries = part.filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), *keys)
+    target = F.concat(F.lit("Teil "), "p_name", F.when(F.col("p_name").contains("ring"), F.concat(F.lit(": "), "p_size")).otherwise(""))
+    entries = part.filter("p_partkey % 100 <> 0").select(F.col("p_partkey").alias("entry_id"), target.alias("target"), *keys)
+    found = recycle.full_lookup(queries, entries, 0.75, 1)
+    blocks = queries.select("query_id", F.lit(None).cast("string").alias("target_text"))
+    filled = recycle.recycle(blocks, found)
+    return filled.join(found.select("query_id", "entry_id", "tier"), "query_id", "left")
+
+
 def memory_variants(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").select(F.col("user_id").alias("entry_id"), F.col("event_type").alias("locale"), F.when(F.col("event_id") % 5 == 0, "").otherwise(F.col("props")).alias("text"), F.col("event_id").alias("at"))
     return memory.merge_variants(events).drop("at")
@@ -142,6 +164,27 @@ SELECT doc_id, concept || '/' || term AS term_id, CAST((length(t) - length(repla
 FROM w, c WHERE hits > 0"""
 EDGES = "(SELECT 's' || l_suppkey AS a, 'p' || l_partkey AS b, CASE WHEN l_linestatus = 'O' THEN 'broader' ELSE 'part_of' END AS label FROM lineitem)"
 
+RECYCLED = """
+WITH p AS (SELECT *, p_name || ' no ' || p_size AS pk, CASE WHEN p_partkey % 3 = 0 THEN '{1}' || p_name || '{/1} no ' || p_size ELSE p_name || ' no ' || p_size END AS sk FROM part),
+k AS (SELECT *, regexp_replace(sk, 'no [0-9]+', 'no {NUMBER}') AS gk FROM p),
+q AS (SELECT * FROM k WHERE p_partkey % 100 = 0), e AS (SELECT * FROM k WHERE p_partkey % 100 <> 0),
+r AS (SELECT q.p_partkey AS query_id, e.p_partkey AS entry_id, 'Teil ' || e.p_name || CASE WHEN contains(e.p_name, 'ring') THEN ': ' || e.p_size ELSE '' END AS target, q.p_size AS want, e.p_size AS have, q.p_brand = e.p_brand AS same, e.p_brand AS brand,
+  CASE WHEN q.gk = e.gk THEN 0 WHEN q.sk = e.sk THEN 1 WHEN q.pk = e.pk THEN 2 END AS exact, q.sk = e.sk AS coded,
+  1 - levenshtein(q.gk, e.gk)::DOUBLE / greatest(length(q.gk), length(e.gk)) AS g, 1 - levenshtein(q.sk, e.sk)::DOUBLE / greatest(length(q.sk), length(e.sk)) AS s,
+  1 - levenshtein(q.pk, e.pk)::DOUBLE / greatest(length(q.pk), length(e.pk)) AS p FROM q, e),
+x AS (SELECT *, CASE WHEN exact = 2 AND NOT coded THEN 0.99 WHEN exact IS NOT NULL THEN 1.0 END AS whole FROM r),
+y AS (SELECT *, count(DISTINCT CASE WHEN whole = 1 THEN target END) OVER (PARTITION BY query_id) AS targets FROM x),
+z AS (SELECT *, coalesce(whole = 1 AND targets > 1, false) AS ambiguous,
+  CASE WHEN whole IS NOT NULL THEN CASE WHEN whole = 1 AND targets > 1 THEN 0.99::DOUBLE ELSE whole::DOUBLE END WHEN greatest(g, s, p) < 1 AND same THEN least(greatest(g, s, p) + 0.03, 1.0) ELSE greatest(g, s, p) END AS score,
+  CASE WHEN exact IS NOT NULL THEN exact WHEN g >= s AND g >= p THEN 3 WHEN s >= p THEN 4 ELSE 5 END AS tier FROM y WHERE whole IS NOT NULL OR greatest(g, s, p) >= 0.75),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tier, entry_id) AS rank FROM z WHERE score >= 0.75),
+f AS (SELECT * FROM b WHERE rank = 1)
+SELECT q.p_partkey AS query_id, CASE WHEN f.query_id IS NULL THEN 'none' WHEN score >= 0.99 AND NOT ambiguous THEN 'filled' ELSE 'offered' END AS memory_state, CAST(round(score * 100) AS INT) AS memory_score,
+  CASE WHEN score >= 0.99 AND NOT ambiguous THEN CASE WHEN tier IN (0, 3) AND contains(target, have::VARCHAR) THEN substr(target, 1, strpos(target, have::VARCHAR) - 1) || want || substr(target, strpos(target, have::VARCHAR) + length(have::VARCHAR)) ELSE target END END AS target_text,
+  entry_id, tier
+FROM q LEFT JOIN f ON f.query_id = q.p_partkey"""
+
+
 QUERIES = {
     "memory_exact": (
         memory_exact,
@@ -158,6 +201,7 @@ FROM {PART} q JOIN {PART} e ON q.p_partkey % 100 = 0 AND e.p_partkey % 100 <> 0
     ),
     "memory_lines": (memory_lines, None),
     "memory_tiered": (memory_tiered, None),
+    "memory_recycled": (memory_recycled, RECYCLED),
     "memory_variants": (
         memory_variants,
         "SELECT user_id AS entry_id, event_type AS locale, props AS text FROM events WHERE true QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1 AND event_id % 5 <> 0",
