@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import converge, govern, layers, usage
 from ..schema import table
+from . import script
 
 TERMS = [(1, "the"), (2, "Of  the"), (3, "AND"), (4, "que"), (5, "of the and")]
 RULES = [
@@ -122,6 +123,43 @@ def converged_locales(spark: SparkSession, d: str) -> DataFrame:
     return counted.withColumn("passes", F.lit(passes))
 
 
+def script_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of two words and more of each document, split off by a user's step; other lines are dropped."""
+
+    def split(text: str | None):
+        for place, line in enumerate((text or "").split("\n")):
+            if len(line.split(" ")) > 1:
+                yield place, len(line)
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return script.script(docs, split, ["text"], "place int, chars int", ["doc_id"])
+
+
+class Longest(script.Collector):
+    """The longest text of each language, of equal ones that of the smallest id, and the number of texts."""
+
+    def empty(self):
+        return {}
+
+    def add(self, state, row):
+        return self.merge(state, {row["lang"]: (row["chars"], -row["doc_id"], 1)})
+
+    def merge(self, one, two):
+        both = dict(one)
+        for lang, (chars, order, n) in two.items():
+            old = both.get(lang, (-1, 0, 0))
+            both[lang] = (*max(old[:2], (chars, order)), old[2] + n)
+        return both
+
+    def result(self, state):
+        return [{"lang": lang, "doc_id": -order, "chars": chars, "n": n} for lang, (chars, order, n) in state.items()]
+
+
+def collected_longest(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.length("text").cast("long").alias("chars"))
+    return script.collect(docs, Longest(), "lang string, doc_id long, chars long, n long", fan_in=8)
+
+
 TOKENS = r"""
 WITH p AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?s)[^\pL\pN\pM_]*[\pL\pN\pM_]+') AS ps FROM documents),
 u AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM p),
@@ -191,4 +229,12 @@ FROM l JOIN r USING (l_orderkey)""",
 SELECT c_nationkey AS locale, count(*) AS units, count(*) FILTER (c_custkey % 7 <> 0) AS produced, CASE WHEN count(*) = count(*) FILTER (c_custkey % 7 <> 0) THEN 'shippable' ELSE 'parked' END AS state, 5 AS passes
 FROM customer GROUP BY 1""",
     ),
+    "script_sections": (
+        script_sections,
+        "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM documents) SELECT doc_id, CAST(place AS INT) AS place, CAST(length(line) AS INT) AS chars FROM l WHERE contains(line, ' ')",
+    ),
+    "collected_longest": (
+        collected_longest,
+        "SELECT lang, arg_min(doc_id, (-length(text), doc_id)) AS doc_id, max(length(text)) AS chars, count(*) AS n FROM documents GROUP BY lang",
+    ),
 }
