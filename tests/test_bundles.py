@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.plans import script
-from textloom.sources import bundles
+from textloom.sources import bundles, nested
 
 TBX = """<?xml version="1.0"?>
 <tbx xmlns="urn:iso:std:iso:30042:ed-2" type="TBX-Basic"><text><body>
@@ -87,3 +91,21 @@ def test_collectors(spark):
     found = script.collect(rows, Lengths(), "length int, n long", fan_in=4)
     assert [tuple(r) for r in found.orderBy("length").collect()] == [(k, len(range(k, 1000, 7))) for k in range(7)]
     assert script.collect(rows.filter("false"), Lengths(), "length int, n long").collect() == []
+
+
+def test_formats_within_formats(spark):
+    page = '<p title="x">Hello <b>big</b> world</p>'
+    row = json.dumps({"id": 7, "body": page, "tags": ["one", "two"]}, ensure_ascii=False)
+    table = io.StringIO()
+    csv.writer(table, lineterminator="\n").writerows([["name", "data"], ["a, b", row], ["c", "not json"]])
+    docs = spark.createDataFrame([("d", "csv", table.getvalue()), ("e", "csv", None), ("f", None, "plain")], "doc_id string, format string, text string")
+    rules = [("csv", r"/[1-9]\d*/1", "json"), ("json", "/body", "html")]
+    layers = nested.extract(docs, rules)
+    found = {r["layer_id"]: (r["text"], r["layer_format"]) for r in nested.texts(layers).collect()}
+    assert sorted(t for t, k in found.values() if k == "html") == [" world", "Hello ", "big"] and ("not json", "csv") in found.values() and ("plain", None) in found.values()
+    assert {r["doc_id"]: r["text"] for r in nested.fold(layers, nested.transform(layers, lambda c: c)).collect()} == {"d": table.getvalue(), "e": "", "f": "plain"}
+    done = {r["doc_id"]: r["text"] for r in nested.fold(layers, nested.transform(layers, F.upper, ["html", "json"])).collect()}
+    rows = list(csv.reader(io.StringIO(done["d"])))
+    assert json.loads(rows[1][1]) == {"id": 7, "body": '<p title="x">HELLO <b>BIG</b> WORLD</p>', "tags": ["ONE", "TWO"]} and rows[2] == ["c", "not json"] and done["f"] == "plain"
+    with pytest.raises(ValueError):
+        nested.extract(spark.createDataFrame([("d", "lines", "a")], "doc_id string, format string, text string"), [("lines", ".*", "lines")], most_depth=3)

@@ -9,6 +9,7 @@ from ..functions import edits, runs
 from ..functions.identity import content_hash
 from ..operators import checks, srx, tree
 from ..schema import table
+from ..sources import nested
 from . import tools
 
 TREE = ("role", "depth", "parent_seq", "ordered", "header", "level")
@@ -175,6 +176,15 @@ c AS (
   UNION ALL SELECT doc_id, n, flat, l_returnflag, n * 10 + 3, 'table-cell', CAST(l_suppkey AS VARCHAR) FROM l
 )"""
 
+def nested_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Web pages as HTML in JSON, each e between their tags a 3, put back and read again."""
+    pages = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.lit("json").alias("format"), F.to_json(F.struct("url", F.col("html").alias("body"))).alias("text"))
+    layers = nested.extract(pages, [("json", "/body", "html")])
+    done = nested.fold(layers, nested.transform(layers, lambda c: F.replace(c, F.lit("e"), F.lit("3")), ["html"]))
+    body = F.get_json_object("text", "$.body")
+    return done.select(F.col("doc_id").cast("long").alias("page_id"), F.get_json_object("text", "$.url").alias("url"), F.sha2(body, 256).alias("body_hash"), F.length(body).cast("long").alias("chars"))
+
+
 SRX_SEGMENTS = r"""
 WITH c AS (SELECT doc_id, lang, text, unnest(range(1, length(text))) AS p FROM documents),
 x AS (SELECT doc_id, lang, p, substr(text, greatest(p - 23, 1)::BIGINT, least(p, 24)::BIGINT) AS b, substr(text, p + 1, 60) AS a FROM c
@@ -198,6 +208,13 @@ FROM documents d LEFT JOIN u ON u.doc_id = d.doc_id AND u.text <> '' GROUP BY d.
 
 QUERIES = {
     "srx_segments": (srx_segments, SRX_SEGMENTS),
+    "nested_pages": (
+        nested_pages,
+        """
+WITH p AS (SELECT page_id, url, html, string_split_regex(html, '<[^>]*>') AS said, regexp_extract_all(html, '<[^>]*>') AS tags FROM pages),
+u AS (SELECT page_id, url, array_to_string(list_transform(range(1, len(said) + 1), lambda i: replace(said[i], 'e', '3') || coalesce(tags[i], '')), '') AS body FROM p)
+SELECT page_id, url, sha256(body) AS body_hash, length(body) AS chars FROM u""",
+    ),
     "page_tree": (
         page_tree,
         rf"""
