@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import edits, runs
 from ..functions.identity import content_hash
-from ..operators import checks, srx, tree
+from ..operators import checks, search, srx, tree
 from ..schema import table
 from ..sources import nested
 from . import tools
@@ -185,6 +185,38 @@ def nested_pages(spark: SparkSession, d: str) -> DataFrame:
     return done.select(F.col("doc_id").cast("long").alias("page_id"), F.get_json_object("text", "$.url").alias("url"), F.sha2(body, 256).alias("body_hash"), F.length(body).cast("long").alias("chars"))
 
 
+def _customer_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' names as sources and their segments as German targets, in files of their nations."""
+    targets = F.create_map(F.lit("de"), F.col("c_mktsegment"), F.lit(""), F.lit("hidden"))
+    blocks = table(spark, d, "customer").select(F.col("c_custkey").alias("block_id"), F.col("c_nationkey").alias("file"), F.col("c_name").alias("source_text"), targets.alias("targets"))
+    return search.block_texts(blocks, keep=["block_id", "file"])
+
+
+def grep_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that have neither a 7 nor the word automobile."""
+    return search.grep(_customer_texts(spark, d), "text", ["7", "automobile"], invert=True, ignore_case=True)
+
+
+def grep_found(spark: SparkSession, d: str) -> DataFrame:
+    return search.grep_matches(_customer_texts(spark, d), "text", ["[1-9]+", "build|MACH"], ignore_case=True)
+
+
+def grep_files_counted(spark: SparkSession, d: str) -> DataFrame:
+    return search.grep_counts(_customer_texts(spark, d), "file", "text", ["#", "BUILDING"], fixed=True)
+
+
+def sed_edited(spark: SparkSession, d: str) -> DataFrame:
+    script = [r"s/customer#\(?0*([1-9]\d*)/No. \1 (&)/i", "s|0|o|", "s/[1-3]/<&>/g", r"s,\$,\,,"]
+    return table(spark, d, "customer").select("c_custkey", search.sed(F.col("c_name"), script).alias("edited"))
+
+
+def part_names(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as blocks of their brands, named by type and size."""
+    parts = table(spark, d, "part")
+    path = search.structural_path(F.col("p_type"), F.lit("  "), F.concat(F.lit(" a/b  "), F.col("p_size") % 5))
+    return search.block_names(parts, "p_brand", "p_partkey", path).select("p_partkey", "name")
+
+
 SRX_SEGMENTS = r"""
 WITH c AS (SELECT doc_id, lang, text, unnest(range(1, length(text))) AS p FROM documents),
 x AS (SELECT doc_id, lang, p, substr(text, greatest(p - 23, 1)::BIGINT, least(p, 24)::BIGINT) AS b, substr(text, p + 1, 60) AS a FROM c
@@ -206,8 +238,30 @@ u AS (SELECT doc_id, start + length(part) - length(regexp_replace(part, '\A\s+',
 SELECT d.doc_id, count(u.text) AS segments, sha256(coalesce(string_agg(u.start || ':' || u.text, '|' ORDER BY u.start), '')) AS digest
 FROM documents d LEFT JOIN u ON u.doc_id = d.doc_id AND u.text <> '' GROUP BY d.doc_id"""
 
+CUSTOMER_TEXTS = """
+WITH t AS (SELECT c_custkey AS block_id, c_nationkey AS file, '' AS locale, c_name AS text FROM customer
+  UNION ALL SELECT c_custkey, c_nationkey, 'de', c_mktsegment FROM customer) """
+
 QUERIES = {
     "srx_segments": (srx_segments, SRX_SEGMENTS),
+    "grep_texts": (grep_texts, CUSTOMER_TEXTS + "SELECT * FROM t WHERE NOT regexp_matches(text, '(?i)7|automobile')"),
+    "grep_found": (
+        grep_found,
+        CUSTOMER_TEXTS
+        + """SELECT *, unnest(range(len(regexp_extract_all(text, '[1-9]+')))) AS match, 0 AS pattern, unnest(regexp_extract_all(text, '[1-9]+')) AS found FROM t
+UNION ALL SELECT *, unnest(range(len(regexp_extract_all(text, '(?i)build|MACH')))), 1, unnest(regexp_extract_all(text, '(?i)build|MACH')) FROM t""",
+    ),
+    "grep_files_counted": (grep_files_counted, CUSTOMER_TEXTS + "SELECT file, count(*) FILTER (contains(text, '#') OR contains(text, 'BUILDING')) AS matching FROM t GROUP BY 1"),
+    "sed_edited": (
+        sed_edited,
+        r"""SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(c_name, '(?i)customer#\(?0*([1-9]\d*)', 'No. \1 (\0)'), '0', 'o'), '[1-3]', '<\0>', 'g') AS edited FROM customer""",
+    ),
+    "part_names": (
+        part_names,
+        """
+WITH p AS (SELECT p_partkey, p_brand, p_type || '/a-b ' || p_size % 5 AS path FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY p_brand, path ORDER BY p_partkey) AS k FROM p)
+SELECT p_partkey, path || CASE WHEN k > 1 THEN '#' || k ELSE '' END AS name FROM n""",
+    ),
     "nested_pages": (
         nested_pages,
         """
