@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import converge, govern, layers, usage
+from ..operators import checks, converge, govern, layers, upkeep, usage
 from ..schema import table
 from . import script
 
@@ -160,6 +160,45 @@ def collected_longest(spark: SparkSession, d: str) -> DataFrame:
     return script.collect(docs, Longest(), "lang string, doc_id long, chars long, n long", fan_in=8)
 
 
+def overlaid_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of each brand as documents and their translations, of which some lost their key, some their address, some both."""
+    part = table(spark, d, "part").select("p_brand", "p_partkey", "p_name")
+    key, address = F.concat(F.lit("k"), F.col("p_partkey")), F.concat(F.lit("a"), F.col("p_partkey"))
+    sources = part.select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("seq"), key.alias("key"), address.alias("address"))
+    lost = F.col("p_partkey") % 5
+    targets = part.filter("p_brand <> 'Brand#11' or p_partkey % 7 <> 0").select(
+        F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("seq"), F.when(lost < 3, key).otherwise(F.concat(F.lit("x"), key)).alias("key"), F.when(lost < 4, address).alias("address"), F.upper("p_name").alias("text")
+    )
+    return upkeep.overlay_targets(sources, targets).select("doc_id", "seq", "target_text", "paired_by")
+
+
+def promoted_memory(spark: SparkSession, d: str) -> DataFrame:
+    """Memory after decisions on the names of parts; every fifth decision is about an older target."""
+    part = table(spark, d, "part")
+    target = F.upper("p_name")
+    units = [F.col("p_brand").alias("item"), F.col("p_partkey").cast("string").alias("unit"), F.lit("de").alias("locale")]
+    blocks = part.select(*units, F.lit("en").alias("source_locale"), F.col("p_name").alias("source_text"), target.alias("target_text"))
+    state = F.when(F.col("p_name").contains("red"), "rejected").when(F.col("p_partkey") % 3 == 0, "open").otherwise("approved")
+    decisions = part.select(*units, state.alias("state"), F.sha2(F.when(F.col("p_partkey") % 5 == 0, F.lit("old")).otherwise(target), 256).alias("target_hash"))
+    before = blocks.filter("source_text like '%bolt%'").select(F.concat(F.lit("old-"), "source_text").alias("entry_id"), "source_locale", F.col("locale").alias("target_locale"), "source_text", "target_text").distinct()
+    return upkeep.promote_decisions(blocks, decisions, before).select("source_text", "target_text", F.col("entry_id").startswith("old-").alias("was_there"))
+
+
+def masked_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Names with terms masked, and unmasked again after a change of case."""
+    terms = ["old", "old ring", "widget "]
+    masked = upkeep.mask_terms(F.col("p_name"), terms)
+    return table(spark, d, "part").select("p_partkey", masked.alias("masked"), upkeep.unmask_terms(F.lower(masked), terms).alias("restored"))
+
+
+def score_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Hygiene scores of documents by language."""
+    docs = table(spark, d, "documents")
+    found = checks.lint(docs, ["doc_id"], "text").unionByName(checks.length_limits(docs, ["doc_id"], "text", 500, 100))
+    scored = govern.compliance_scores(found.withColumn("category", F.lit("style")), ["doc_id"], docs).filter("dimension = 'style'")
+    return upkeep.score_summary(scored.join(docs.select("doc_id", "lang"), "doc_id"), "overall", ["lang"])
+
+
 TOKENS = r"""
 WITH p AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?s)[^\pL\pN\pM_]*[\pL\pN\pM_]+') AS ps FROM documents),
 u AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM p),
@@ -237,4 +276,34 @@ FROM customer GROUP BY 1""",
         collected_longest,
         "SELECT lang, arg_min(doc_id, (-length(text), doc_id)) AS doc_id, max(length(text)) AS chars, count(*) AS n FROM documents GROUP BY lang",
     ),
+    "overlaid_targets": (
+        overlaid_targets,
+        """
+SELECT p_brand AS doc_id, p_partkey AS seq,
+  CASE WHEN (p_brand <> 'Brand#11' OR p_partkey % 7 <> 0) AND (p_partkey % 5 < 4 OR p_brand <> 'Brand#11') THEN upper(p_name) END AS target_text,
+  CASE WHEN p_brand = 'Brand#11' AND p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 5 < 3 THEN 'key' WHEN p_partkey % 5 < 4 THEN 'address' WHEN p_brand <> 'Brand#11' THEN 'place' END AS paired_by
+FROM part""",
+    ),
+    "promoted_memory": (
+        promoted_memory,
+        """
+SELECT DISTINCT p_name AS source_text, upper(p_name) AS target_text, false AS was_there FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 3 <> 0 AND NOT contains(p_name, 'red')
+UNION ALL SELECT DISTINCT p_name, upper(p_name), true FROM part WHERE contains(p_name, 'bolt')""",
+    ),
+    "masked_terms": (
+        masked_terms,
+        """
+SELECT p_partkey, replace(replace(replace(p_name, 'old ring', '[[DNT_0]]'), 'widget', '[[DNT_1]]'), 'old', '[[DNT_2]]') AS masked, p_name AS restored FROM part""",
+    ),
+    "score_ranges": (
+        score_ranges,
+        r"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_split_to_array(lower(coalesce(text, '')), '[ \n\t]+') AS w FROM documents),
+p AS (SELECT lang, CASE WHEN regexp_matches(t, '\S') THEN CAST(regexp_matches(t, '\A\s') AS INT) + CAST(regexp_matches(regexp_replace(t, '\r?\n\z', ''), '\s\z') AS INT) + CAST(contains(t, '  ') AS INT)
+  + CAST(len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1] AND regexp_matches(w[i], '[\pL\pN]'))) > 0 AS INT) + CAST(regexp_matches(t, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]') AS INT) ELSE 5 END
+  + CASE WHEN length(t) > 500 THEN 5 ELSE 0 END + CAST(len(regexp_extract_all(t, '[^\s]+')) > 100 AS INT) AS penalty FROM t),
+s AS (SELECT lang, greatest(100 - penalty, 0) AS s FROM p)
+SELECT lang, count(*) AS n, sum(s) / count(*) AS mean, min(s)::BIGINT AS lowest, max(s)::BIGINT AS highest, quantile_cont(s, 0.5)::DOUBLE AS median, count(*) FILTER (s <= 25) AS to_25, count(*) FILTER (s > 25 AND s <= 50) AS to_50,
+  count(*) FILTER (s > 50 AND s <= 75) AS to_75, count(*) FILTER (s > 75) AS to_100 FROM s GROUP BY lang""",
+    ),
 }
