@@ -218,6 +218,15 @@ def test_labels_of_pages(spark):
     assert found == {1: True, 2: None, 3: None, 4: False}
 
 
+def test_salted_joins_are_no_broadcasts(spark, tmp_path):
+    """Files of a few bytes a row would be broadcast with all their copies, which the driver can't hold."""
+    spark.range(20000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels")
+    pages = spark.range(200).select(F.col("id").alias("page_id"), F.format_string("http://a/en/%d", F.col("id")).alias("url"))
+    found = url_filters.labelled_pages(pages, spark.read.parquet(f"{tmp_path}/labels"))
+    assert found.filter("bad = false").count() == 200
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
+
+
 def similar_by_trial(docs, similarity=0.8, shingle=5):
     """Smallest id of each document's group, by comparing all pairs of shingle sets."""
     sets = {}

@@ -79,10 +79,13 @@ def segments(path: Column, depth: int) -> Column:
 
 
 def salted_left_join(rows: DataFrame, few: DataFrame, on: list[str], spread: Column, salts: int = SALTS) -> DataFrame:
-    """Left join of `rows` with the smaller `few`, each key in `salts` parts: a key of a third of all rows is no single task."""
+    """Left join of `rows` with the smaller `few`, each key in `salts` parts: a key of a third of all rows is no single task.
+
+    Never a broadcast: Spark would judge by the size before the copies, of compressed files at that, and the driver would hold them all.
+    """
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
     copies = few.withColumn("salt", F.explode(F.array(*[F.lit(k).cast("long") for k in range(salts)])))
-    return dealt.join(copies, [*on, "salt"], "left").drop("salt")
+    return dealt.join(copies.hint("merge"), [*on, "salt"], "left").drop("salt")
 
 
 def rate_class(hits: str, total: str) -> Column:
