@@ -340,6 +340,19 @@ def test_line_dedup_compares_lines_unlike_their_head(spark, others):
     assert [i for i, text in out.items() if text == ""] == [len(lines) - 1]
 
 
+def test_line_dedup_loses_no_line_alike_in_words(spark):
+    """Every word pair is in most lines, so that near lines are far apart in any order of a group."""
+    rng = random.Random(8)
+    vocabulary = ["above", "child", "fritz", "jumpy", "known", "sqlgg"]
+    docs = []
+    for size in (5, 6, 9, 20, 33):
+        lines = [[rng.choice(vocabulary) for _ in range(size)] for _ in range(60)]
+        changed = [[f"new{i}x{k}" if k in at else w for k, w in enumerate(line)] for i, line in enumerate(lines) for at in [set(rng.sample(range(size), size // 5))]]
+        docs += [(len(docs) + i, i >= 60, " ".join(w)) for i, w in enumerate(lines + changed)]
+    out = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, changed boolean, text string"))
+    assert [r["doc_id"] for r in out.filter("changed and text <> ''").collect()] == []
+
+
 def test_mixing_refuses_too_many_epochs_and_sources(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "a" if i else "b") for i in range(2000)], "doc_id long, source string")
     with pytest.raises(ValueError, match="more than 3 times.*'b'"):
