@@ -353,6 +353,23 @@ def test_line_dedup_loses_no_line_alike_in_words(spark):
     assert [r["doc_id"] for r in out.filter("changed and text <> ''").collect()] == []
 
 
+def test_line_dedup_repeats_no_group_of_few_members(spark):
+    """A group is only repeated for parts of its pairs where it has many members."""
+    sizes = [2, 65, 1000, 1024, 5000, 100_000]
+    out = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", line_dedup.parts(F.col("n")).alias("parts")).collect()
+    assert [r["parts"] for r in out] == [1, 1, 1, 2, 5, 98]
+
+
+def test_line_dedup_verifies_all_pairs_in_parts(spark, monkeypatch):
+    """The texts of all pairs aren't shuffled at once, and no pair is left out."""
+    monkeypatch.setattr(line_dedup, "PAIRS_A_TEXT", 2)
+    lines = [f"one two three four five six seven eight nine word{i % 2} {'x' * (i % 3)}" for i in range(12)] + ["quite another line of several words here"]
+    texts = spark.createDataFrame([(i, x.split()) for i, x in enumerate(lines)], "node long, words array<string>")
+    pairs = spark.createDataFrame([(i, j) for j in range(13) for i in range(j)], "x long, y long")
+    links, staged = line_dedup.verified(pairs, texts, 0.8)
+    assert len(staged) == 4 and sorted(map(tuple, links.collect())) == [(i, j) for i in range(12) for j in range(i + 1, 12)]
+
+
 def test_mixing_refuses_too_many_epochs_and_sources(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "a" if i else "b") for i in range(2000)], "doc_id long, source string")
     with pytest.raises(ValueError, match="more than 3 times.*'b'"):
