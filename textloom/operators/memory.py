@@ -1,19 +1,22 @@
 """Content memory: exact and fuzzy matches of many texts at once.
 
 Queries and entries are tables; a lookup is a set of joins: equality on keys for the exact tiers, and for the fuzzy
-tier a join on the rare n-grams of a text, which provably finds every entry that reaches the score.
+tier a join on segments of the texts, which provably finds every entry that reaches the score.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
+
+from ..session import checkpoint
+from . import segments
 
 #: Match types by priority.
 EXACT_TIERS = ("generalized", "structural", "plain")
 NEAR_EXACT = 0.99
-#: Probes that a query and an entry share at least, where the query has so many to spare.
-SHARED = 1
 
 
 def exact_matches(queries: DataFrame, entries: DataFrame, tiers: tuple[str, ...] = EXACT_TIERS) -> DataFrame:
@@ -64,47 +67,81 @@ def point_distance(a: Column, b: Column) -> Column:
     )
 
 
-def grams(text: Column, size: int) -> Column:
-    """Distinct hashes of a text's runs of `size` characters."""
-    n = F.char_length(text) - size + 1
-    found = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.substring(text, i, size)))
-    return F.when(n > 0, F.array_distinct(found)).otherwise(F.array().cast("array<bigint>"))
+def _matching(texts: DataFrame, name: str, least: float, wanted: np.ndarray | None = None) -> DataFrame:
+    """Texts with `id` (hash), `n` and their keys: of queries, or of entries those that the table `wanted` has."""
+    keyed = texts.select(F.xxhash64(name).alias("id"), F.char_length(name).alias("n"), name).withColumn("keys", segments.keys(F.col(name), least, wanted))
+    return keyed if wanted is None else keyed.filter(F.size("keys") > 0)
 
 
-def fuzzy_matches(queries: DataFrame, entries: DataFrame, least: float = 0.7, size: int | None = None, key: str = "plain_key") -> DataFrame:
-    """(query_id, entry_id, target, score) of all pairs whose edit ratio is at least `least`.
+def alike_texts(queries: DataFrame, entries: DataFrame, least: float) -> DataFrame:
+    """(q, e, score) of all pairs of the different texts `q` and `e` whose edit ratio is at least `least`.
 
-    A text of n characters with at most d = floor((1 - least) * longer length) edits keeps all but size * d of its
-    distinct grams. So of any size * d + k grams of a query at least k stand in every match: the rarest so many are its
-    probes, joined to the entries' grams, and what shares fewer than k of them goes (prefix filtering; k is SHARED, or
-    what the query has). Only ids and lengths travel with the grams; texts are fetched once for each pair left, and a
-    bounded edit distance decides. Queries too short for that many grams are joined by length instead.
-    Gram frequencies come from the entries, counted in one aggregation. size: 3 where the score leaves enough
-    grams whole, else 2.
+    Of a query that at most d edits set apart from its matches, cut into d + 1 segments, one stands unchanged in every match,
+    at most d places off (`segments`). So all substrings of entries are looked up among the queries' segments, in a bit table
+    of bounded size first: only what it has is shuffled, and only texts that meet are compared, by a bounded edit distance.
     """
-    size = size or (3 if least >= 0.8 else 2)
-    # Entries with one hash of their ids share a row number; each of their texts is compared, so none is lost.
-    q = queries.select("query_id", F.xxhash64("query_id").alias("x"), F.col(key).alias("q"), F.char_length(key).alias("n"))
-    e = entries.select("entry_id", F.xxhash64("entry_id").alias("y"), F.col(key).alias("e"), "target", F.char_length(key).alias("m"))
-    longest = F.floor(F.col("n") / least + 1e-9)
-    q = q.withColumn("lost", F.floor((1 - least) * longest + 1e-9).cast("int") * size).withColumn("g", grams(F.col("q"), size))
-    shared = F.least(F.size("g") - F.col("lost"), F.lit(SHARED))
-    index = e.select("y", "m", F.explode(grams(F.col("e"), size)).alias("gram"))
-    counts = index.groupBy("gram").count()
-    probes = q.filter(shared > 0).select("x", "n", shared.alias("shared"), "lost", F.explode("g").alias("gram")).distinct()
-    rare = Window.partitionBy("x", "n", "shared", "lost").orderBy(F.coalesce("count", F.lit(0)), "gram")
-    probes = probes.join(counts, "gram", "left").withColumn("r", F.row_number().over(rare)).filter("r <= lost + shared and count is not null")
-    low, high = F.floor(F.col("n") * least + 1e-9), F.ceil(F.col("n") / least - 1e-9)
-    met = probes.join(index, "gram").filter((F.col("m") >= low) & (F.col("m") <= high)).groupBy("x", "n", "y", "shared").count()
-    by_gram = met.filter("count >= shared").select("x", "y").distinct()
-    few = q.filter(shared <= 0).select("x", F.explode(F.sequence(low, high)).alias("m")).join(e.select("y", "m"), "m").select("x", "y")
-    pairs = by_gram.union(few).distinct()
-    both = pairs.join(q.select("x", "query_id", "q"), "x").join(e.select("y", "entry_id", "e", "target"), "y")
+    q = queries.select("q").filter("q is not null").distinct()
+    probes = checkpoint(_matching(q, "q", least).select(F.col("id").alias("x"), F.col("n").alias("xn"), F.explode("keys").alias("k")).select("x", "xn", F.col("k.key").alias("key"), F.col("k.at").alias("s")))
+    # Texts of entries stay where their hash puts them: read twice, shuffled once. The size keeps the keys in both readings.
+    e = _matching(entries.select("e").filter("e is not null"), "e", least, segments.bit_table(probes, "key"))
+    e = e.repartition("id").dropDuplicates(["id", "n", "e"]).filter(F.size("keys") > 0)
+    index = e.select(F.col("id").alias("y"), F.col("n").alias("yn"), F.explode("keys").alias("k")).select("y", "yn", F.col("k.key").alias("key"), F.col("k.at").alias("p"))
+    longer = F.greatest("xn", "yn")
+    most = F.floor(longer * F.lit(1 - least) + F.lit(1e-9)).cast("int")
+    off = F.abs(F.col("p") - F.col("s")) + F.abs((F.col("yn") - F.col("p")) - (F.col("xn") - F.col("s")))
+    near = F.when(F.col("s") >= 0, off).otherwise(F.abs(F.col("yn") - F.col("xn"))) <= most
+    pairs = probes.join(index, "key").filter(near).select("x", "y").distinct()
+    both = pairs.join(q.select(F.xxhash64("q").alias("x"), "q"), "x").join(e.select(F.col("id").alias("y"), "e", "keys"), "y").filter(F.size("keys") > 0)
     both = both.withColumn("longer", F.greatest(F.char_length("q"), F.char_length("e")))
     most = F.floor(F.col("longer") * F.lit(1 - least) + F.lit(1e-9)).cast("int")
     both = both.withColumn("edits", F.call_function("levenshtein", F.col("q"), F.col("e"), most)).filter("edits >= 0")
     score = F.when(F.col("longer") == 0, F.lit(1.0)).otherwise(1 - F.col("edits") / F.col("longer"))
-    return both.withColumn("score", score).filter(F.col("score") >= least).select("query_id", "entry_id", "target", "score").distinct()
+    return both.withColumn("score", score).filter(F.col("score") >= least).select("q", "e", "score")
+
+
+def fuzzy_matches(queries: DataFrame, entries: DataFrame, least: float = 0.7, key: str = "plain_key") -> DataFrame:
+    """(query_id, entry_id, target, score) of all pairs whose edit ratio is at least `least`.
+
+    Each different text is compared once, however many queries and entries have it; then ids take the places of texts.
+    """
+    q = queries.select("query_id", F.col(key).alias("q")).filter("q is not null")
+    e = entries.select("entry_id", "target", F.col(key).alias("e")).filter("e is not null")
+    found = alike_texts(q, e, least)
+    by_query = found.join(q, "q").select("query_id", "e", "score").distinct()
+    # Pairs of ids are many: only those of an entry that has several texts can come twice, and only they are made distinct.
+    texts = e.groupBy("entry_id", "target").agg(F.collect_set("e").alias("texts"))
+    one = texts.filter(F.size("texts") == 1).select("entry_id", "target", F.element_at("texts", 1).alias("e"))
+    more = texts.filter(F.size("texts") > 1).select("entry_id", "target", F.explode("texts").alias("e"))
+    columns = ["query_id", "entry_id", "target", "score"]
+    return by_query.join(one, "e").select(*columns).unionByName(by_query.join(more, "e").select(*columns).distinct())
+
+
+def _comparable(rows: DataFrame, names: list[str]) -> list[Column]:
+    """Columns that can be grouped by: maps as their sorted entries."""
+    return [(F.array_sort(F.map_entries(n)) if isinstance(rows.schema[n].dataType, MapType) else F.col(n)).alias(f"_{k}") for k, n in enumerate(names)]
+
+
+def first_of_each(queries: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The first query of each group that is equal in the columns, and for each query (query_id) that one (first_id)."""
+    keyed = queries.select("query_id", *names, *_comparable(queries, names))
+    keys = [f"_{k}" for k in range(len(names))]
+    firsts = keyed.groupBy(*keys).agg(F.min("query_id").alias("query_id"), F.min_by(F.struct(*names), "query_id").alias("_row"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    held = keyed.alias("a").join(firsts.alias("b"), same).select(F.col("a.query_id").alias("query_id"), F.col("b.query_id").alias("first_id"))
+    return firsts.select("query_id", "_row.*"), held
+
+
+def first_entries(entries: DataFrame, names: list[str], most: int) -> DataFrame:
+    """Of entries that are equal in the columns those with the `most` smallest ids; no other is among the `most` best of a query."""
+    order = Window.partitionBy(*_comparable(entries, names)).orderBy("entry_id")
+    return entries.select("entry_id", *names, F.dense_rank().over(order).alias("_r")).filter(F.col("_r") <= most).drop("_r")
+
+
+def of_each(matches: DataFrame, held: DataFrame) -> DataFrame:
+    """The matches of the first queries for all queries that are like them."""
+    return held.join(matches.withColumnRenamed("query_id", "first_id"), "first_id").select(*matches.columns)
 
 
 def best_matches(matches: DataFrame, most: int = 1) -> DataFrame:
@@ -116,21 +153,26 @@ def best_matches(matches: DataFrame, most: int = 1) -> DataFrame:
 def tiered_lookup(queries: DataFrame, entries: DataFrame, least: float = 0.7, most: int = 5, same_project: float = 0.03) -> DataFrame:
     """Exact tiers, then fuzzy for the rest of the pairs: query_id, entry_id, target, score, tier, ambiguous, rank.
 
-    queries: query_id and the keys generalized_key, structural_key, plain_key. entries: entry_id, target and the same keys.
+    queries: query_id and the keys generalized_key, structural_key, plain_key. entries: entry_id, target and the same keys; ids are unique.
+    Queries that are alike are looked up once, and of alike entries only those with the `most` smallest ids, as no other can be among the best.
     If both have `project`, a match in the same project gains `same_project`, up to 1. With least >= 1, queries that
     have an exact match aren't looked up again.
     """
+    keys = [f"{tier}_key" for tier in EXACT_TIERS]
+    shared = ["project"] if "project" in queries.columns and "project" in entries.columns else []
+    queries, held = first_of_each(queries, [*keys, *shared])
+    entries = first_entries(entries, ["target", *keys, *shared], most)
     exact = settle_ambiguous(exact_matches(queries, entries))
     rest = queries.join(exact.select("query_id").distinct(), "query_id", "left_anti") if least >= 1 else queries
     fuzzy = fuzzy_matches(rest, entries, least).join(exact, ["query_id", "entry_id"], "left_anti")
     both = exact.unionByName(fuzzy.withColumn("tier", F.lit(len(EXACT_TIERS))).withColumn("ambiguous", F.lit(False)))
-    if "project" in queries.columns and "project" in entries.columns:
+    if shared:
         both = both.join(queries.select("query_id", F.col("project").alias("_p")), "query_id").join(
             entries.select("entry_id", F.col("project").alias("_o")), "entry_id"
         )
         gain = F.when((F.col("_p") == F.col("_o")) & ~F.col("ambiguous"), same_project).otherwise(0.0)
         both = both.withColumn("score", F.least(F.col("score") + gain, F.lit(1.0))).drop("_p", "_o")
-    return best_matches(both.filter(F.col("score") >= least), most)
+    return of_each(best_matches(both.filter(F.col("score") >= least), most), held)
 
 
 def adapt(target: Column, stored: Column, wanted: Column) -> Column:

@@ -23,13 +23,13 @@ def _stacked(rows: DataFrame, id_col: str, more: list[str]) -> DataFrame:
     return each.select(F.struct(F.col(id_col).alias("id"), "bits").alias(id_col), F.col("text").alias("any_key"), *more)
 
 
-def three_key_fuzzy(queries: DataFrame, entries: DataFrame, least: float = 0.7, size: int | None = None) -> DataFrame:
+def three_key_fuzzy(queries: DataFrame, entries: DataFrame, least: float = 0.7) -> DataFrame:
     """(query_id, entry_id, target, score, tier) of pairs of which some key's edit ratio is at least `least`.
 
     The best ratio of the generalized, structural and plain keys counts, of equal ones the first; tiers 3 to 5 name the key. All keys
-    go through one n-gram index, in which texts that several keys of a row have in common stand once.
+    go through one index, in which texts that several keys of a row have in common stand once.
     """
-    found = memory.fuzzy_matches(_stacked(queries, "query_id", []), _stacked(entries, "entry_id", ["target"]), least, size, key="any_key")
+    found = memory.fuzzy_matches(_stacked(queries, "query_id", []), _stacked(entries, "entry_id", ["target"]), least, key="any_key")
     common = F.col("query_id.bits").bitwiseAND(F.col("entry_id.bits"))
     first = F.when(common.bitwiseAND(F.lit(1)) > 0, 0).when(common.bitwiseAND(F.lit(2)) > 0, 1).otherwise(2)
     rated = found.filter(common > 0).select(
@@ -48,7 +48,15 @@ def full_lookup(
     `project`, a fuzzy match in the same project gains `same_project`, up to 1. If both have `entities` (map of id to value),
     `adapted` is the target with the query's values, where values were generalised in the match; else the target.
     With least >= 1, queries that have an exact match aren't looked up again. distance: as of `settle_ambiguous`.
+
+    Ids are unique. Without a distance, queries that are alike are looked up once, and of alike entries only those with the
+    `most` smallest ids, as no other can be among the best.
     """
+    used = [f"{tier}_key" for tier in EXACT_TIERS] + [c for c in ("project", "entities") if c in queries.columns and c in entries.columns]
+    held = None
+    if distance is None:
+        queries, held = memory.first_of_each(queries, used)
+        entries = memory.first_entries(entries, ["target", *used], most)
     exact = memory.settle_ambiguous(memory.exact_matches(queries, entries), distance)
     rest = queries.join(exact.select("query_id").distinct(), "query_id", "left_anti") if least >= 1 else queries
     fuzzy = three_key_fuzzy(rest, entries, least).join(exact, ["query_id", "entry_id"], "left_anti")
@@ -68,7 +76,8 @@ def full_lookup(
         known = F.col("tier").isin(*GENERAL_TIERS) & F.col("_wanted").isNotNull() & F.col("_stored").isNotNull()
         adapted = F.when(known, memory.adapt(F.col("target"), F.col("_stored"), F.col("_wanted"))).otherwise(F.col("target"))
     both = both.withColumn("adapted", adapted).drop("_wanted", "_stored")
-    return memory.best_matches(both, most)
+    best = memory.best_matches(both, most)
+    return best if held is None else memory.of_each(best, held)
 
 
 def recycle(blocks: DataFrame, matches: DataFrame, fill_at: float = NEAR_EXACT) -> DataFrame:

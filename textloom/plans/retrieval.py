@@ -40,10 +40,9 @@ def memory_lines(spark: SparkSession, d: str) -> DataFrame:
     Whole lines in any script: DuckDB counts edits in bytes, so there is no SQL; tests compare with all pairs.
     """
     lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("t")).filter("t <> ''")
-    entries = lines.select("t").distinct().select(F.col("t").alias("entry_id"), F.col("t").alias("plain_key"), F.col("t").alias("target"))
     changed = F.replace("t", F.lit(" the "), F.lit(" thee "))
-    queries = lines.filter("doc_id % 100 = 0").select(changed.alias("query_id"), changed.alias("plain_key")).distinct()
-    return memory.fuzzy_matches(queries, entries, 0.95).select("query_id", "entry_id", F.round("score", 6).alias("score"))
+    found = memory.alike_texts(lines.filter("doc_id % 100 = 0").select(changed.alias("q")), lines.select(F.col("t").alias("e")), 0.95)
+    return found.select(F.col("q").alias("query_id"), F.col("e").alias("entry_id"), F.round("score", 6).alias("score"))
 
 
 def memory_tiered(spark: SparkSession, d: str) -> DataFrame:
