@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: The known statuses.
 STATUSES = ("proposed", "admitted", "preferred", "deprecated", "forbidden")
 
+#: Terms that every task may hold at most.
+FEW = 10_000
+
 #: Scripts that put no spaces between words: there a term needs no word boundary.
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
 
@@ -30,23 +33,26 @@ def term_hits(blocks: DataFrame, terms: DataFrame, block_id: str, text: str) ->
     """(block_id, term_id, hits): how often each term's words stand consecutively in a text.
 
     Word n-grams of the blocks, of the lengths that terms have, are joined to the terms by equality, so the
-    work grows with the text and not with text times terms. Terms of unspaced scripts go through `term_matches`.
-    terms: term_id, term.
+    work grows with the text and not with text times terms. Up to FEW terms are sent to every task, where n-grams that are none
+    of them go at once; more are joined by a shuffle. Terms of unspaced scripts go through `term_matches`. terms: term_id, term.
     """
     folded = terms.select("term_id", tokens(F.col("term")).alias("t")).filter(F.size("t") > 0)
     keyed = folded.select("term_id", F.size("t").alias("length"), F.array_join("t", " ").alias("gram"))
-    lengths = [r["length"] for r in keyed.select("length").distinct().orderBy("length").collect()]
-    words = blocks.select(block_id, tokens(F.col(text)).alias("w"))
-    out = None
-    for n in lengths:
-        columns = [F.slice("w", k + 1, F.size("w")).alias(f"w{k}") for k in range(n)]
-        rolled = words.filter(F.size("w") >= n).select(block_id, F.explode(F.arrays_zip(*columns)).alias("g"))
-        gram = F.concat_ws(" ", *[F.col(f"g.w{k}") for k in range(n)])
-        part = rolled.filter(F.col(f"g.w{n - 1}").isNotNull()).select(block_id, gram.alias("gram")).join(keyed.filter(F.col("length") == n), "gram")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    counts = {r["length"]: r["count"] for r in keyed.groupBy("length").count().orderBy("length").collect()}
+    if not counts:
         return blocks.select(block_id).join(keyed.select("term_id"), F.lit(False)).withColumn("hits", F.lit(0).cast("long"))
-    return out.groupBy(block_id, "term_id").agg(F.count(F.lit(1)).alias("hits"))
+    known = keyed.select("term_id", "gram")
+    words = blocks.select(block_id, tokens(F.col(text)).alias("w"))
+
+    def grams(n: int) -> Column:
+        if n == 1:
+            return F.col("w")
+        found = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
+        return F.when(F.size("w") >= n, found).otherwise(F.array().cast("array<string>"))
+
+    rolled = words.filter("w is not null").select(block_id, F.explode(F.concat(*[grams(n) for n in counts])).alias("gram"))
+    met = rolled.join(F.broadcast(known) if sum(counts.values()) <= FEW else known, "gram")
+    return met.groupBy(block_id, "term_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
 def term_matches(blocks: DataFrame, terms: DataFrame, block_id: str, text: str) -> DataFrame:
