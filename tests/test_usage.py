@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import converge, layers, recycle, usage
+from textloom.operators import terms as terms_module
 
 USES = [
     ("memory", "The memory holds it.", ["memory"]),
@@ -196,3 +197,22 @@ def test_three_keys_and_recycling(spark):
     coded = blocks.withColumn("source_text", F.concat("source_text", F.lit('<x id="1/"/>')))
     assert recycle.recycle(coded, recycle.full_lookup(queries, entries, 0.7, 1)).filter("query_id = 1").first()["memory_state"] == "offered"
     assert {r["query_id"] for r in recycle.full_lookup(queries, entries, 1.0).collect()} == {1}
+
+
+@pytest.mark.parametrize("few", [10_000, 2])
+def test_terms_meet_in_the_tasks_or_by_a_shuffle(spark, monkeypatch, few):
+    """The same uses either way; few terms move no token and no text but the hits."""
+    monkeypatch.setattr(terms_module, "FEW", few)
+    monkeypatch.setattr(usage, "FEW", few)
+    texts = ["The end of  the world", "of the of the", "", None, "Überall über der Tür the", "off the other"]
+    blocks = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    given = spark.createDataFrame([("a", "the"), ("b", "of the"), ("c", "über"), ("d", "...")], "term_id string, term string")
+    found = usage.occurrences(blocks, given, "id", "text")
+    assert {(r["id"], r["term_id"], r["start"]) for r in found.collect()} == {
+        (0, "a", 0), (0, "a", 12), (0, "b", 8), (1, "a", 3), (1, "a", 10), (1, "b", 0), (1, "b", 7), (4, "a", 21), (4, "c", 8), (5, "a", 4),
+    }
+    hits = terms_module.term_hits(blocks, given, "id", "text")
+    assert {tuple(r) for r in hits.collect()} == {(0, "a", 2), (0, "b", 1), (1, "a", 2), (1, "b", 2), (4, "a", 1), (4, "c", 1), (5, "a", 1)}
+    for frame in (found, hits):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=broadcast" in plan) == (few > 2)

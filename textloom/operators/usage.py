@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .terms import UNSPACED, term_pattern
+from .terms import FEW, UNSPACED, term_pattern
 
 # Scripts by the names that `regex` takes, without Java's "Is".
 _UNSPACED = UNSPACED.replace("{Is", "{")
@@ -33,7 +33,8 @@ def occurrences(blocks: DataFrame, terms: DataFrame, key: str, text: str, also:
     different ones may. A term without any letter or digit has no uses.
 
     Terms and texts meet by their first two tokens (or the one), hashed; only where they meet is the text looked
-    at, so the work grows with the texts and the uses, not with texts times terms.
+    at, so the work grows with the texts and the uses, not with texts times terms. Up to FEW terms are sent to every task and meet
+    the texts there; more meet the tokens by a shuffle.
     """
     also = also or []
     known = terms.select("term_id", F.regexp_replace("term", r"(?U)^\s+|\s+$", "").alias("term"), *also).withColumn("_t", placed_tokens("term"))
@@ -42,18 +43,28 @@ def occurrences(blocks: DataFrame, terms: DataFrame, key: str, text: str, also:
     known = known.filter(first.isNotNull()).select(
         "term_id", "term", *also, F.xxhash64(first["word"], F.coalesce(second["word"], F.lit(""))).alias("_h"), first["start"].alias("_lead")
     )
-    tokens = blocks.select(key, placed_tokens(text).alias("_t"))
     pairs = F.transform("_t", lambda t, i: F.struct(t.alias("a"), F.coalesce(F.get("_t", i + 1)["word"], F.lit("")).alias("b")))
-    tokens = tokens.select(key, F.explode(pairs).alias("p"))
-    hashes = F.array_distinct(F.array(F.xxhash64("p.a.word", F.lit("")), F.xxhash64("p.a.word", "p.b")))
-    tokens = tokens.select(key, F.col("p.a.start").alias("_at"), F.explode(hashes).alias("_h"))
-    met = tokens.join(known, "_h").withColumn("start", F.col("_at") - F.col("_lead")).filter("start >= 0").drop("_h", "_at", "_lead")
-    near = met.join(blocks.select(key, F.col(text).alias("_text")), key)
+    codes = [r["_h"] for r in known.select("_h").distinct().limit(FEW + 1).collect()]
+    count, lead, longest = known.agg(F.count(F.lit(1)), F.coalesce(F.max("_lead"), F.lit(0)), F.coalesce(F.max(F.length("term")), F.lit(0))).first()
+    if count <= FEW:  # only what begins like a term leaves its text, with as much of it as a use can have
+        tokens = blocks.select(key, F.col(text).alias("_text"), placed_tokens(text).alias("_t")).withColumn("_p", pairs).drop("_t")
+        begins = F.transform("_p", lambda p: F.struct(p["a"]["start"].alias("at"), F.array_distinct(F.array(F.xxhash64(p["a"]["word"], F.lit("")), F.xxhash64(p["a"]["word"], p["b"]))).alias("h")))
+        begins = F.filter(begins, lambda p: F.exists(p["h"], lambda h: h.isin(codes) if codes else F.lit(False)))
+        origin = lambda p: F.greatest(p["at"] - (lead + 1), F.lit(0))
+        shown = F.transform(begins, lambda p: F.struct(p["at"], p["h"], origin(p).alias("from"), F.substring(F.col("_text"), origin(p) + 1, F.lit(1 + lead + longest + SPACE)).alias("part")))
+        tokens = tokens.select(key, F.explode(shown).alias("p")).select(key, F.col("p.at").alias("_at"), F.col("p.from").alias("_from"), F.col("p.part").alias("_text"), F.explode("p.h").alias("_h"))
+        near = tokens.join(F.broadcast(known), "_h").withColumn("start", F.col("_at") - F.col("_lead")).filter("start >= 0").drop("_h", "_at", "_lead")
+    else:
+        tokens = blocks.select(key, placed_tokens(text).alias("_t")).select(key, F.explode(pairs).alias("p"))
+        hashes = F.array_distinct(F.array(F.xxhash64("p.a.word", F.lit("")), F.xxhash64("p.a.word", "p.b")))
+        tokens = tokens.select(key, F.col("p.a.start").alias("_at"), F.explode(hashes).alias("_h"))
+        met = tokens.join(known, "_h").withColumn("start", F.col("_at") - F.col("_lead")).filter("start >= 0").drop("_h", "_at", "_lead")
+        near = met.join(blocks.select(key, F.lit(0).alias("_from"), F.col(text).alias("_text")), key)
     before = F.when(F.col("start") > 0, 1).otherwise(0)
     room = F.length("term") + SPACE
-    rest = F.substring(F.col("_text"), F.col("start") + 1 - before, before + room)
+    rest = F.substring(F.col("_text"), F.col("start") + 1 - before - F.col("_from"), before + room)
     pattern = F.concat(F.lit(r"(?s)\A"), F.when(F.col("start") > 0, ".").otherwise(""), F.lit("("), term_pattern(F.col("term")), F.lit(")"))
-    hits = near.withColumn("found", F.call_function("regexp_extract", rest, pattern, F.lit(1))).filter("found <> ''").drop("_text")
+    hits = near.withColumn("found", F.call_function("regexp_extract", rest, pattern, F.lit(1))).filter("found <> ''").drop("_text", "_from")
     hits = hits.withColumn("end", F.col("start") + F.length("found"))
     uses = hits.groupBy(key, "term_id").agg(
         F.array_sort(F.collect_set(F.struct("start", "end", "found"))).alias("_u"), *[F.first(c).alias(c) for c in also]
