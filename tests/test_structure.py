@@ -360,3 +360,32 @@ def test_units_are_committed_whole(spark):
     assert [tuple(r) for r in srx.committed(found, written, "id").collect()] == [("b", "W")]
     marked = found.withColumn("ignorable", F.col("text") == "y")
     assert sorted(tuple(r) for r in srx.committed(marked, written, "id").collect()) == [("a", "Xy"), ("b", "W")]
+
+
+@pytest.mark.parametrize("layers", [False, True])
+def test_short_documents_are_shuffled_once(spark, layers):
+    """Documents within one part, alone and beside a longer one, have the tree of a stack; their plan has one shuffle."""
+    chance = random.Random(3)
+    streams = {f"d{k}": random_events(chance, f"d{k}", chance.randint(0, 60)) for k in range(12)}
+    if not layers:
+        streams = {d: [e for e in events if not e[2].startswith("layer")] for d, events in streams.items()}
+    df = spark.createDataFrame([e for events in streams.values() for e in events], EVENT)
+    alone = tree.project_stream(df)
+    assert alone._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    assert alone._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    mixed = tree.project_stream(df, part=30)
+    for nodes in (alone, mixed):
+        found = {}
+        for r in nodes.collect():
+            parent = None if r["parent_seq"] is None else (r["parent_seq"], r["parent_part"])
+            found.setdefault(r["doc_id"], {})[r["seq"], r["part"]] = (r["role"], r["depth"], parent)
+        assert found == {doc: t for doc, events in streams.items() if (t := tree_by_stack(events))}
+
+
+def test_tables_of_short_and_long_documents_are_the_same(spark):
+    chance = random.Random(6)
+    events = [e for k in range(20) for e in random_events(chance, f"d{k}", 60) if not e[2].startswith("layer")]
+    df = spark.createDataFrame(events, EVENT)
+    short, long = ({tuple(r) for r in tree.assemble_tables(df, part=p).collect()} for p in (65_536, 7))
+    assert short == long and len(short) > 50
+    assert tree.assemble_tables(df)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1

@@ -23,8 +23,13 @@ def page_tree(spark: SparkSession, d: str) -> DataFrame:
 
 def order_events(spark: SparkSession, d: str) -> DataFrame:
     """Each order as a table: a caption, and a row of two cells per line. Orders of every third key have cells without rows."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_returnflag", "l_linestatus")
-    lines = table(spark, d, "lineitem").select("l_orderkey", F.row_number().over(order).cast("long").alias("n"), "l_returnflag", "l_linestatus", "l_partkey", "l_suppkey")
+    # Orders and lines are shuffled together, by the document that they become.
+    lines = table(spark, d, "lineitem").withColumn("doc_id", F.col("l_orderkey"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderstatus", F.lit(True).alias("whole"))
+    columns = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_returnflag", "l_linestatus"]
+    both = lines.select("doc_id", "l_orderkey", *columns, F.lit(False).alias("whole")).unionByName(orders, allowMissingColumns=True)
+    upto = Window.partitionBy("doc_id").orderBy("whole", *columns).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("n", F.sum(F.when(F.col("whole"), 0).otherwise(1)).over(upto).cast("long"))
     kind_map = "map<string,string>"
 
     def event(seq: Column, kind: str, type_: str, text: Column, **properties: Column) -> Column:
@@ -56,10 +61,9 @@ def order_events(spark: SparkSession, d: str) -> DataFrame:
         event(F.lit(2), "block", "caption", F.col("o_orderstatus")),
         event(F.lit(9_999), "group_end", "table", none),
     )
-    whole = table(spark, d, "orders").select("o_orderkey", "o_orderstatus").select(F.col("o_orderkey").alias("doc_id"), F.explode(around).alias("e"))
-    parts = lines.select(F.col("l_orderkey").alias("doc_id"), F.explode(of_line).alias("e"))
+    events = both.select("doc_id", F.explode(F.when(F.col("whole"), around).otherwise(of_line)).alias("e"))
     empty = [F.lit(None).cast(kind).alias(name) for name, kind in (("node_id", "string"), ("role", "string"), ("level", "int"), ("col_span", "int"), ("row_span", "int"))]
-    return whole.unionByName(parts).select("doc_id", "e.*", *empty)
+    return events.select("doc_id", "e.*", *empty)
 
 
 def order_tree(spark: SparkSession, d: str) -> DataFrame:
