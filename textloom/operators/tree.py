@@ -133,7 +133,7 @@ def _project_within(events: DataFrame, layers: bool) -> DataFrame:
         F.when(F.col("_starts"), F.struct(*_node(F.lit(1), **made, role=F.lit(ROW), depth=depth + 1, parent_seq=F.col("_table"), parent_part=F.lit(0)))),
         F.when(bare, F.struct(*_node(F.lit(2), depth=depth + 2, parent_seq=F.col("_row"), parent_part=F.lit(1)))),
     )
-    return rows.select(F.explode(F.filter(nodes, lambda n: n.isNotNull())).alias("n")).select("n.*")
+    return rows.select(F.explode(nodes).alias("n")).filter("n is not null").select("n.*")
 
 
 def project_stream(events: DataFrame, part: int = PART) -> DataFrame:

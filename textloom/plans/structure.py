@@ -39,7 +39,7 @@ def order_events(spark: SparkSession, d: str) -> DataFrame:
             F.lit(kind).alias("kind"),
             F.lit(type_).alias("type"),
             text.cast("string").alias("text"),
-            F.map_filter(F.create_map(*cells).cast(kind_map), lambda _, v: v.isNotNull()).alias("properties"),
+            F.create_map(*cells).cast(kind_map).alias("properties"),
         )
 
     none = F.lit(None).cast("string")
@@ -55,13 +55,13 @@ def order_events(spark: SparkSession, d: str) -> DataFrame:
         event(base, "group_start", "table-row", none, header=F.when(F.col("l_returnflag") == "R", "true")),
         event(base + 9, "group_end", "table-row", none),
     ]
-    of_line = F.filter(F.array(*cells, *[F.when(~flat, r) for r in rows]), lambda e: e.isNotNull())
+    of_line = F.array(*cells, *[F.when(~flat, r) for r in rows])
     around = F.array(
         event(F.lit(1), "group_start", "table", none),
         event(F.lit(2), "block", "caption", F.col("o_orderstatus")),
         event(F.lit(9_999), "group_end", "table", none),
     )
-    events = both.select("doc_id", F.explode(F.when(F.col("whole"), around).otherwise(of_line)).alias("e"))
+    events = both.select("doc_id", F.explode(F.when(F.col("whole"), around).otherwise(of_line)).alias("e")).filter("e is not null")
     empty = [F.lit(None).cast(kind).alias(name) for name, kind in (("node_id", "string"), ("role", "string"), ("level", "int"), ("col_span", "int"), ("row_span", "int"))]
     return events.select("doc_id", "e.*", *empty)
 
